@@ -334,12 +334,15 @@ def matchup_grid(
     """
     pairs = pairs.where(F.col("batter_id").isNotNull() & F.col("bowler_id").isNotNull())
     m = dim_match.where((F.col("season_year") >= since_year) & (F.col("tournament") == tournament)).select("match_id")
-    f = fact_ball.join(m, "match_id", "left_semi")
+    f = fact_ball
     if phase is not None:
         f = f.where(F.col("match_phase") == phase)
-    ids = pairs.select("batter_id", "bowler_id").distinct()
+    # the id pairs are bounded by the request (|batters| x |bowlers|): safe to broadcast,
+    # and applied first so only the requested pairs' balls reach the match join
+    ids = F.broadcast(pairs.select("batter_id", "bowler_id").distinct())
     stats = (
         f.join(ids, ["batter_id", "bowler_id"], "left_semi")
+        .join(m, "match_id", "left_semi")
         .groupBy("batter_id", "bowler_id")
         .agg(
             count_if(F.col("is_legal_delivery")).alias("balls"),

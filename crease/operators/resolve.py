@@ -51,30 +51,42 @@ def _contains_any(value: Column, inputs: list[str]) -> Column:
     return F.filter(arr, lambda n: F.like(F.lower(value), F.lower(F.concat(F.lit("%"), n, F.lit("%")))))
 
 
+def player_candidates(dim_player: DataFrame, inputs: list[str]) -> DataFrame:
+    """Best player per input name in one scan of the dimension.
+
+    Each player row emits (input, priority) for every requested name it matches:
+    1 exact name, 2 listed among the name variants, 3 case-insensitive substring
+    (LIKE wildcards in the input kept, as in the reference).  The best
+    candidate per input is a partial ``min`` of (priority, id, name).
+    """
+    arr = F.array(*[F.lit(n) for n in dict.fromkeys(inputs)]) if inputs else F.array().cast("array<string>")
+    name, variants = F.col("player_name"), F.coalesce(F.col("name_variants"), F.array().cast("array<string>"))
+
+    def prio(n: Column) -> Column:
+        like = F.like(F.lower(name), F.lower(F.concat(F.lit("%"), n, F.lit("%"))))
+        return F.when(name == n, 1).when(F.array_contains(variants, n), 2).when(like, 3)
+
+    hits = F.filter(F.transform(arr, lambda n: F.struct(n.alias("input_name"), prio(n).alias("prio"))), lambda x: x["prio"].isNotNull())
+    cand = dim_player.select("player_id", "player_name", F.explode(hits).alias("h")).select(
+        F.col("h.input_name").alias("input_name"), F.struct(F.col("h.prio").alias("prio"), "player_id", "player_name").alias("c")
+    )
+    return cand.groupBy("input_name").agg(F.min("c").alias("best")).select(
+        "input_name",
+        F.col("best.player_id").alias("player_id"),
+        F.col("best.player_name").alias("player_name"),
+        F.col("best.prio").alias("prio"),
+    )
+
+
 def resolve_players(names: DataFrame, dim_player: DataFrame, inputs: list[str]) -> DataFrame:
     """Q10: exact name -> membership in name variants -> case-insensitive substring.
 
     Returns (pos, input_name, player_id, player_name, match_rule); unresolved
     inputs are kept with null id (Q11).
     """
-    exact = names.join(dim_player.select("player_id", F.col("player_name").alias("input_name")), "input_name").select(
-        "input_name", F.lit(1).alias("prio"), "player_id"
-    )
-    variants = dim_player.select("player_id", F.explode("name_variants").alias("input_name"))
-    in_variants = names.join(variants, "input_name").select("input_name", F.lit(2).alias("prio"), "player_id")
-    fuzzy = dim_player.select("player_id", F.explode(_contains_any(F.col("player_name"), inputs)).alias("input_name")).select(
-        "input_name", F.lit(3).alias("prio"), "player_id"
-    )
-    best = (
-        exact.unionByName(in_variants)
-        .unionByName(fuzzy)
-        .groupBy("input_name")
-        .agg(F.min(F.struct("prio", "player_id")).alias("best"))
-        .select("input_name", F.col("best.player_id").alias("player_id"), F.col("best.prio").alias("prio"))
-    )
+    best = player_candidates(dim_player, inputs)
     rule = F.when(F.col("prio") == 1, "exact").when(F.col("prio") == 2, "variant").when(F.col("prio") == 3, "substring")
     out = names.join(best, "input_name", "left")
-    out = out.join(dim_player.select("player_id", "player_name"), "player_id", "left")
     return out.select("pos", "input_name", "player_id", "player_name", rule.alias("match_rule"))
 
 
@@ -110,16 +122,17 @@ def resolve_teams(names: DataFrame, dim_team: DataFrame, inputs: list[str], alia
     return out.select("pos", "input_name", team.alias("team_name"), cands.alias("candidates"), status.alias("status"))
 
 
-def grid_pairs(spark: SparkSession, batters: DataFrame, bowlers: DataFrame, batter_names: list[str], bowler_names: list[str]) -> DataFrame:
+def grid_pairs(spark: SparkSession, resolved: DataFrame, batter_names: list[str], bowler_names: list[str]) -> DataFrame:
     """The requested (batter, bowler) pairs with resolved ids.
 
     The pair list is the product of the two request lists (built on the driver
-    from parameters, not from data), joined to each side's resolution.
+    from parameters, not from data); ``resolved`` is ``player_candidates`` over
+    both lists at once, joined to each side.
     """
     pairs = spark.createDataFrame(
         [(b, w) for b in dict.fromkeys(batter_names) for w in dict.fromkeys(bowler_names)],
         "batter_input string, bowler_input string",
     )
-    bat = batters.select(F.col("input_name").alias("batter_input"), F.col("player_id").alias("batter_id"))
-    bowl = bowlers.select(F.col("input_name").alias("bowler_input"), F.col("player_id").alias("bowler_id"))
+    bat = resolved.select(F.col("input_name").alias("batter_input"), F.col("player_id").alias("batter_id"))
+    bowl = resolved.select(F.col("input_name").alias("bowler_input"), F.col("player_id").alias("bowler_id"))
     return pairs.join(bat, "batter_input", "left").join(bowl, "bowler_input", "left")

@@ -14,14 +14,24 @@ two must stay expression-for-expression equal.
 from __future__ import annotations
 
 import datetime as _dt
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_READS: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Parquet table of the driver's data set; the (lazy) reader is reused per session
+    so repeated references do not list files and read footers again."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _READS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _READS[key] = df
+    return df
 
 
 def _hex8(c: Column) -> Column:
@@ -192,32 +202,46 @@ def a1_fact_ball(spark: SparkSession, sf_dir: str, with_teams: bool = True) -> D
 def a1_dim_player(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Players seen on the A1 fact: batters 0-49 and bowlers 0-19 (ids share one space)."""
     li = table(spark, sf_dir, "lineitem")
-    ids = (
-        li.select((F.col("l_partkey") % 50).alias("player_id"))
-        .union(li.select((F.col("l_suppkey") % 20).alias("player_id")))
-        .distinct()
-    )
+    ids = li.select(F.explode(F.array(F.col("l_partkey") % 50, F.col("l_suppkey") % 20)).alias("player_id")).distinct()
     name = F.concat(F.lit("P"), F.col("player_id").cast("string"))
     return ids.select("player_id", name.alias("player_name"), F.array(name).alias("name_variants"), F.lit("male").alias("gender"))
 
 
-@dataclass
 class Star:
-    dim_team: DataFrame
-    dim_venue: DataFrame
-    dim_match: DataFrame
-    dim_player: DataFrame
-    fact_ball: DataFrame
+    """The A1 star; each table is planned on first use only."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, with_teams: bool = True):
+        self._spark, self._sf, self._with_teams = spark, sf_dir, with_teams
+        self._cache: dict[str, DataFrame] = {}
+
+    def _get(self, name: str, build) -> DataFrame:
+        if name not in self._cache:
+            self._cache[name] = build()
+        return self._cache[name]
+
+    @property
+    def dim_team(self) -> DataFrame:
+        return self._get("dim_team", lambda: a1_dim_team(self._spark, self._sf))
+
+    @property
+    def dim_venue(self) -> DataFrame:
+        return self._get("dim_venue", lambda: a1_dim_venue(self._spark, self._sf))
+
+    @property
+    def dim_match(self) -> DataFrame:
+        return self._get("dim_match", lambda: a1_dim_match(self._spark, self._sf))
+
+    @property
+    def dim_player(self) -> DataFrame:
+        return self._get("dim_player", lambda: a1_dim_player(self._spark, self._sf))
+
+    @property
+    def fact_ball(self) -> DataFrame:
+        return self._get("fact_ball", lambda: a1_fact_ball(self._spark, self._sf, with_teams=self._with_teams))
 
 
 def a1_star(spark: SparkSession, sf_dir: str, with_teams: bool = True) -> Star:
-    return Star(
-        dim_team=a1_dim_team(spark, sf_dir),
-        dim_venue=a1_dim_venue(spark, sf_dir),
-        dim_match=a1_dim_match(spark, sf_dir),
-        dim_player=a1_dim_player(spark, sf_dir),
-        fact_ball=a1_fact_ball(spark, sf_dir, with_teams=with_teams),
-    )
+    return Star(spark, sf_dir, with_teams)
 
 
 # ----------------------------------------------------------------------------
@@ -240,7 +264,9 @@ def _a2_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a2_ball_log(spark: SparkSession, sf_dir: str, keep_k: bool = False) -> DataFrame:
-    b = _a2_base(spark, sf_dir)
+    """The ball log, hash-partitioned by match_id (the one shuffle the derived
+    columns need; the sequence window reuses it)."""
+    b = _a2_base(spark, sf_dir).repartition("match_id")
     w = Window.partitionBy("match_id", "innings_number").orderBy("ts", "event_id")
     seq = F.row_number().over(w)
     et = F.col("event_type")
