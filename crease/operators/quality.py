@@ -184,3 +184,43 @@ def assert_passed(report: DataFrame, what: str = "quality report") -> None:
     bad = report.where(~F.col("passed")).limit(20).collect()
     if bad:
         raise AssertionError(f"{what} failed: " + "; ".join(str(r.asDict()) for r in bad))
+
+
+def fact_ball_rule_sql() -> list[tuple[str, str]]:
+    """SQL text of ``fact_ball_rules`` (same names, same order), for oracles and docs."""
+    rules = [(n, f"{n[len('not_null_'):]} IS NULL") for n, _ in fact_ball_rules() if n.startswith("not_null_")]
+    rules.append(("check_innings_ge_1", "COALESCE(innings_number < 1, FALSE)"))
+    phases = ", ".join(f"'{p}'" for p in MATCH_PHASES)
+    rules.append(("check_match_phase", f"COALESCE(match_phase NOT IN ({phases}), FALSE)"))
+    return rules
+
+
+def run_all_checks(
+    fact: DataFrame,
+    tables: dict[str, DataFrame],
+    dim_player: DataFrame,
+    dim_match: DataFrame,
+    expected: dict[str, int] | None = None,
+    player_fks: tuple[str, ...] = ("batter_id", "bowler_id", "non_striker_id"),
+) -> DataFrame:
+    """Q5: all gates in the reference's order, as one report
+    (check_name, severity, observed, passed).  'fail' rows gate the write,
+    'warn' rows are reported only."""
+    rc = row_counts(tables, expected).select(
+        F.concat(F.lit("row_count:"), "table_name").alias("check_name"), F.lit("fail").alias("severity"),
+        F.col("actual").cast("double").alias("observed"), "passed",
+    )
+    orph = orphans(fact, list(player_fks), dim_player, "player_id").unionByName(orphans(fact, ["match_id"], dim_match, "match_id"))
+    orph = orph.select(
+        F.concat(F.lit("orphans:"), "fk_column").alias("check_name"), F.lit("fail").alias("severity"),
+        F.col("orphan_rows").cast("double").alias("observed"), (F.col("orphan_rows") == 0).alias("passed"),
+    )
+    ph = phase_share(fact).select(
+        F.concat(F.lit("phase_share:"), "match_phase").alias("check_name"), F.lit("warn").alias("severity"),
+        F.col("share").alias("observed"), F.col("in_range").alias("passed"),
+    )
+    dup = duplicate_keys(fact, ["match_id", "innings_number", "delivery_sequence"]).select(
+        F.lit("duplicates:fact_ball").alias("check_name"), F.lit("fail").alias("severity"),
+        F.col("duplicate_keys").cast("double").alias("observed"), (F.col("duplicate_keys") == 0).alias("passed"),
+    )
+    return rc.unionByName(orph).unionByName(ph).unionByName(dup)
