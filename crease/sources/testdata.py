@@ -285,10 +285,159 @@ def a2_ball_log(spark: SparkSession, sf_dir: str, keep_k: bool = False) -> DataF
         (batter_runs + extras).cast("int").alias("total_runs"),
         ((et == "error") & (k % 5 == 0)).alias("is_bowler_wicket"),
         (et != "signup").alias("is_legal_delivery"),
-        *([k, et.alias("event_type")] if keep_k else []),
+        *([k, et.alias("event_type"), F.col("ts")] if keep_k else []),
     )
     seq0 = F.col("delivery_sequence") - 1
     out = out.withColumn("over_number", (F.floor(seq0 / 6) + 1).cast("int")).withColumn(
         "ball_in_over", (seq0 % 6 + 1).cast("int")
     )
     return out
+
+
+# ----------------------------------------------------------------------------
+# A3: match documents rendered from the A2 ball log
+# ----------------------------------------------------------------------------
+
+# event name by match_id % 4; object form for even match ids, plain string for odd
+A3_EVENTS = ["Indian Premier League", "Women's Premier League", "Multiple Cup", "Big Bash League"]
+A3_TRUNCATE_MOD = 9  # match_id % 10 == 9: text cut in half (malformed)
+A3_OLD_VERSION_MOD = 8  # match_id % 10 == 8: data_version 0.9.0 (unsupported)
+A3_ODD_GENDER_MOD = 6  # match_id % 7 == 6: gender "mixed" (unsupported)
+
+
+def _json_lit(x) -> Column:
+    import json as _json
+
+    return F.lit(_json.dumps(x))
+
+
+def a3_match_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON text per match: (path, text).
+
+    Built from the ball log with per-over, per-innings and per-match
+    aggregates.  The ball log is hash-partitioned by match_id, which satisfies
+    all three groupings, so no further shuffle happens; each group is one over,
+    one innings or one match (bounded by the game).
+    """
+    b = a2_ball_log(spark, sf_dir, keep_k=True)
+    k, et = F.col("k"), F.col("event_type")
+    runs = F.struct(F.col("batter_runs").alias("batter"), F.col("extras_runs").alias("extras"), F.col("total_runs").alias("total"))
+    d = b.select(
+        "match_id", "innings_number", "over_number", "ball_in_over", "batter_name", "bowler_name", "non_striker_name",
+        F.to_json(
+            F.struct(
+                F.col("batter_name").alias("batter"),
+                F.col("bowler_name").alias("bowler"),
+                F.col("non_striker_name").alias("non_striker"),
+                runs.alias("runs"),
+                F.when(et == "signup", F.create_map(F.lit("wides"), F.lit(1))).alias("extras"),
+                F.when((F.col("batter_runs") == 4) & (k % 3 == 0), F.lit(True)).alias("non_boundary"),
+                F.when(
+                    F.col("is_bowler_wicket"),
+                    F.array(F.struct(F.lit("bowled").alias("kind"), F.col("batter_name").alias("player_out"))),
+                ).alias("wickets"),
+                F.when(k % 13 == 0, F.create_map(F.lit("role"), F.array().cast("array<string>"))).alias("replacements"),
+            )
+        ).alias("dj"),
+    )
+    overs = d.groupBy("match_id", "innings_number", "over_number").agg(
+        F.array_sort(F.collect_list(F.struct("ball_in_over", "dj"))).alias("dl")
+    )
+    overs = overs.select(
+        "match_id", "innings_number", "over_number",
+        F.concat(
+            F.lit('{"over":'), (F.col("over_number") - 1).cast("string"), F.lit(',"deliveries":['),
+            F.array_join(F.transform("dl", lambda x: x["dj"]), ","), F.lit("]}"),
+        ).alias("oj"),
+    )
+    inns = overs.groupBy("match_id", "innings_number").agg(F.array_sort(F.collect_list(F.struct("over_number", "oj"))).alias("ol"))
+    team = F.when(F.col("innings_number") == 1, "T1").otherwise("T2")
+    inns = inns.select(
+        "match_id", "innings_number",
+        F.concat(F.lit('{"team":"'), team, F.lit('","overs":['), F.array_join(F.transform("ol", lambda x: x["oj"]), ","), F.lit("]}")).alias("ij"),
+    )
+    by_match = inns.groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct("innings_number", "ij"))).alias("im"))
+    names = b.groupBy("match_id").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array("batter_name", "bowler_name", "non_striker_name"))))).alias("names"),
+        F.min("ts").alias("first_ts"),
+    )
+    m = by_match.join(names, "match_id")
+    mid = F.col("match_id")
+    mod4 = (mid % 4).cast("int")
+    obj_events = F.array(*[_json_lit({"name": e}) for e in A3_EVENTS])
+    str_events = F.array(*[_json_lit(e) for e in A3_EVENTS])
+    event_json = F.when(mid % 2 == 0, F.element_at(obj_events, mod4 + 1)).otherwise(F.element_at(str_events, mod4 + 1))
+    gender = F.when(mid % 7 == A3_ODD_GENDER_MOD, "mixed").when(mod4 == 1, "female").otherwise("male")
+    registry = F.to_json(F.map_from_arrays("names", F.transform("names", lambda n: F.concat(F.lit("id-"), n))))
+    info = F.concat(
+        F.lit('{"event":'), event_json,
+        F.lit(',"gender":"'), gender,
+        F.lit('","season":"2024","dates":["'), F.date_format("first_ts", "yyyy-MM-dd"),
+        F.lit('"],"teams":["T1","T2"],"venue":"Ground '), (mid % 5).cast("string"),
+        F.lit('","registry":{"people":'), registry, F.lit("}}"),
+    )
+    empty = {1: '{"team":"T1","overs":[]}', 2: '{"team":"T2","overs":[]}'}
+    innings = F.concat(
+        F.coalesce(F.element_at("im", 1), F.lit(empty[1])), F.lit(","), F.coalesce(F.element_at("im", 2), F.lit(empty[2]))
+    )
+    version = F.when(mid % 10 == A3_OLD_VERSION_MOD, "0.9.0").otherwise("1.1.0")
+    text = F.concat(F.lit('{"meta":{"data_version":"'), version, F.lit('"},"info":'), info, F.lit(',"innings":['), innings, F.lit("]}"))
+    text = F.when(mid % 10 == A3_TRUNCATE_MOD, F.substring(text, 1, (F.length(text) / 2).cast("int"))).otherwise(text)
+    folder = F.when(mod4.isin(0, 2), "ipl").otherwise("other")
+    path = F.concat(F.lit("/matches/"), folder, F.lit("/"), mid.cast("string"), F.lit(".json"))
+    return m.select(path.alias("path"), text.alias("text"))
+
+
+# ----------------------------------------------------------------------------
+# A1 headers and registry entries for the dimension builders
+# ----------------------------------------------------------------------------
+
+
+def a1_match_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One header per order, in the shape ``flatten.match_headers`` produces."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    r = F.broadcast(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("team1_region"), "r_name"))
+    m = o.join(c, o.o_custkey == c.c_custkey).select(
+        "o_orderkey", "o_orderstatus", "o_orderdate", "o_orderpriority", "c_mktsegment",
+        F.col("c_nationkey").cast("bigint").alias("team1_key"),
+        ((F.col("c_nationkey") + 1 + F.col("o_orderkey") % 24) % 25).alias("team2_key"),
+    )
+    m = m.join(_a1_teams(spark, sf_dir, "team1"), "team1_key").join(_a1_teams(spark, sf_dir, "team2"), "team2_key").join(r, "team1_region")
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    wpl = F.col("o_orderpriority") == "5-LOW"
+    return m.select(
+        key.cast("string").alias("match_id"),
+        key.alias("order_key"),
+        F.when(wpl, "Women's Premier League").otherwise("Indian Premier League").alias("event_name"),
+        F.when(wpl, "female").otherwise("male").alias("gender"),
+        F.year("o_orderdate").cast("string").alias("season"),
+        F.to_date("o_orderdate").cast("string").alias("match_date"),
+        F.array("team1_name", "team2_name").alias("teams"),
+        F.col("r_name").alias("venue"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.col("c_mktsegment")).alias("city"),
+        F.lit(None).cast("string").alias("toss_winner"),
+        F.lit(None).cast("string").alias("toss_decision"),
+        F.when(status == "F", F.col("team1_name")).when(status == "O", F.col("team2_name")).alias("winner"),
+        F.when(status == "F", 1 + key % 50).cast("double").alias("win_by_runs"),
+        F.when(status == "O", 1 + key % 10).cast("double").alias("win_by_wickets"),
+        F.when(status == "P", F.when(key % 2 == 0, "tie").otherwise("no result")).alias("result"),
+        F.lit(None).cast("string").alias("method"),
+        F.lit(None).cast("string").alias("player_of_match"),
+        F.lit(None).cast("map<string,string>").alias("registry"),
+    )
+
+
+def a1_registry_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem x part x orders as registry entries: id = supplier, name = part name,
+    order = order key, gender from the A1 tournament rule."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
+    e = li.join(p, "l_partkey").join(o, "l_orderkey")
+    return e.select(
+        F.col("l_orderkey").alias("order_key"),
+        F.when(F.col("o_orderpriority") == "5-LOW", "female").otherwise("male").alias("gender"),
+        F.col("p_name").alias("name"),
+        F.col("l_suppkey").cast("string").alias("id"),
+    )
