@@ -180,8 +180,8 @@ def constraint_report(star, player_dim: DataFrame | None = None) -> DataFrame:
 
 
 def assert_passed(report: DataFrame, what: str = "quality report") -> None:
-    """Fail closed: raise if any failing row exists (one tiny aggregate job)."""
-    bad = report.where(~F.col("passed")).limit(20).collect()
+    """Fail closed: raise if any failing row exists (at most 20 small rows reach the driver)."""
+    bad = report.where(~F.coalesce(F.col("passed"), F.lit(False))).limit(20).collect()
     if bad:
         raise AssertionError(f"{what} failed: " + "; ".join(str(r.asDict()) for r in bad))
 
