@@ -33,11 +33,12 @@ SEASON_OVERRIDES = {"2020/21": 2020}
 
 
 def canonical_team(name: Column, aliases: dict[str, str] = TEAM_RENAMES) -> Column:
-    """Current name of a team (unchanged when not a known rename)."""
-    if not aliases:
-        return name
-    m = F.create_map(*[x for k, v in aliases.items() for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(F.element_at(m, name), name)
+    """Current name of a team (unchanged when not a known rename); a CASE chain,
+    evaluated in generated code, no per-row map."""
+    expr = None
+    for k, v in (aliases or {}).items():
+        expr = F.when(name == k, F.lit(v)) if expr is None else expr.when(name == k, F.lit(v))
+    return name if expr is None else expr.otherwise(name)
 
 
 SPLIT_SEASON = r"^([0-9]{2})[0-9]{2}\s*/\s*([0-9]{2})$"
@@ -77,9 +78,9 @@ def tournament(event: Column, gender: Column) -> Column:
     return F.when(ev.contains("women") | ev.contains("wpl") | (gender == "female"), "WPL").otherwise("IPL")
 
 
-def _clean_teams(teams: Column, aliases) -> Column:
-    names = F.filter(F.transform(F.coalesce(teams, F.array().cast("array<string>")), lambda t: norm(t)), lambda t: t != "")
-    return F.transform(names, lambda t: canonical_team(t, aliases))
+def _clean_teams(teams: Column) -> Column:
+    """Stripped, non-blank raw team names."""
+    return F.filter(F.transform(F.coalesce(teams, F.array().cast("array<string>")), lambda t: norm(t)), lambda t: t != "")
 
 
 def build_dim_team(headers: DataFrame, aliases: dict[str, str] = TEAM_RENAMES) -> DataFrame:
@@ -109,7 +110,7 @@ def build_dim_match(headers: DataFrame, aliases: dict[str, str] = TEAM_RENAMES,
     A season label that does not parse gives NULL ``season_year``; with
     ``keep_errors`` the ``season_error`` column is kept for the quarantine.
     """
-    teams = _clean_teams(F.col("teams"), aliases)
+    teams = _clean_teams(F.col("teams"))
     gender = F.lower(strip(F.coalesce("gender", F.lit(""))))
     pom = blank_to_null("player_of_match")
     pom_id = F.when(pom.isNotNull(), F.coalesce(strip(F.element_at(F.col("registry"), pom)), F.lit("")))
@@ -125,8 +126,8 @@ def build_dim_match(headers: DataFrame, aliases: dict[str, str] = TEAM_RENAMES,
         tournament(strip("event_name"), gender).alias("tournament"),
         gender.alias("gender"),
         surrogate_key("venue").alias("venue_id"),
-        surrogate_key(F.element_at(teams, 1)).alias("team1_id"),
-        surrogate_key(F.element_at(teams, 2)).alias("team2_id"),
+        surrogate_key(canonical_team(F.element_at(teams, 1), aliases)).alias("team1_id"),
+        surrogate_key(canonical_team(F.element_at(teams, 2), aliases)).alias("team2_id"),
         team_id(F.col("toss_winner")).alias("toss_winner_team_id"),
         blank_to_null("toss_decision").alias("toss_decision"),
         team_id(F.col("winner")).alias("winner_team_id"),

@@ -119,15 +119,17 @@ def _rule_rows(df: DataFrame, table: str, rules: list[tuple[str, Column]]) -> Da
     )
 
 
+FACT_NOT_NULL = [
+    "match_id", "innings_number", "delivery_sequence", "over_number", "ball_in_over", "match_phase",
+    "batting_team", "bowling_team", "batter_name", "batter_id", "bowler_name", "bowler_id",
+    "non_striker_name", "non_striker_id", "batter_runs", "extras_runs", "total_runs",
+    "is_legal_delivery", "is_dot_ball", "is_boundary_four", "is_boundary_six", "is_wicket", "is_bowler_wicket",
+]
+
+
 def fact_ball_rules() -> list[tuple[str, Column]]:
     """Q6: NOT NULL and CHECK constraints of the ball fact."""
-    not_null = [
-        "match_id", "innings_number", "delivery_sequence", "over_number", "ball_in_over", "match_phase",
-        "batting_team", "bowling_team", "batter_name", "batter_id", "bowler_name", "bowler_id",
-        "non_striker_name", "non_striker_id", "batter_runs", "extras_runs", "total_runs",
-        "is_legal_delivery", "is_dot_ball", "is_boundary_four", "is_boundary_six", "is_wicket", "is_bowler_wicket",
-    ]
-    rules = [(f"not_null_{c}", F.col(c).isNull()) for c in not_null]
+    rules = [(f"not_null_{c}", F.col(c).isNull()) for c in FACT_NOT_NULL]
     rules.append(("check_innings_ge_1", F.coalesce(F.col("innings_number") < 1, F.lit(False))))
     rules.append(("check_match_phase", F.coalesce(~F.col("match_phase").isin(*MATCH_PHASES), F.lit(False))))
     return rules
@@ -188,7 +190,7 @@ def assert_passed(report: DataFrame, what: str = "quality report") -> None:
 
 def fact_ball_rule_sql() -> list[tuple[str, str]]:
     """SQL text of ``fact_ball_rules`` (same names, same order), for oracles and docs."""
-    rules = [(n, f"{n[len('not_null_'):]} IS NULL") for n, _ in fact_ball_rules() if n.startswith("not_null_")]
+    rules = [(f"not_null_{c}", f"{c} IS NULL") for c in FACT_NOT_NULL]
     rules.append(("check_innings_ge_1", "COALESCE(innings_number < 1, FALSE)"))
     phases = ", ".join(f"'{p}'" for p in MATCH_PHASES)
     rules.append(("check_match_phase", f"COALESCE(match_phase NOT IN ({phases}), FALSE)"))

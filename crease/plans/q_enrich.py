@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from crease.operators import enrich
 from crease.oracle.adapters import A1, with_ctes
 from crease.plans.catalog import hu, register, values_sql
+from crease.plans import fixtures as fx
 from crease.sources import testdata as td
 
 # literal metadata for three regions (test parameters; the normal form of the
@@ -72,7 +73,7 @@ def _venues(spark, sf):
 
 
 def _enriched(spark, sf):
-    s = td.a1_star(spark, sf, with_teams=False)
+    s = fx.a1_star(spark, sf)
     cur = enrich.curated_venues(spark, REGION_METADATA)
     return enrich.enrich_venues(_venues(spark, sf), s.fact_ball, s.dim_match, cur), s
 

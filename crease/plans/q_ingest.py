@@ -14,6 +14,7 @@ from crease.operators import flatten
 from crease.oracle.adapters import A2, with_ctes
 from crease.plans.catalog import register
 from crease.sources import documents
+from crease.plans import fixtures as fx
 from crease.sources import testdata as td
 
 EVENTS_SQL = "CASE match_id % 4 " + " ".join(
@@ -43,11 +44,11 @@ def a3(body: str) -> str:
 
 
 def _classified(spark, sf):
-    return documents.classify_documents(td.a3_match_documents(spark, sf))
+    return documents.classify_documents(fx.a3_documents(spark, sf))
 
 
 def _fact(spark, sf):
-    accepted, _ = documents.split_documents(td.a3_match_documents(spark, sf))
+    accepted, _ = documents.split_documents(fx.a3_documents(spark, sf))
     return flatten.build_fact_ball(accepted)
 
 

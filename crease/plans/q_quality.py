@@ -8,6 +8,7 @@ from crease.operators import acceptance, dims, quality
 from crease.oracle.adapters import A1, with_ctes
 from crease.plans.catalog import register
 from crease.plans.q_reports import DIM_SEASON_SQL, cnt
+from crease.plans import fixtures as fx
 from crease.sources import testdata as td
 
 # fixed sizes of the TPC-H spec tables behind dim_team / dim_venue
@@ -18,7 +19,7 @@ PLAYER_FKS = ["batter_id", "bowler_id", "non_striker_id"]
 def _filtered_players(spark, sf):
     """Players whose id is also a nation key: a dimension with known gaps (failing FK case)."""
     n = td.table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("player_id"))
-    return td.a1_dim_player(spark, sf).join(n, "player_id", "left_semi")
+    return fx.a1_star(spark, sf).dim_player.join(n, "player_id", "left_semi")
 
 
 FILTERED_PLAYERS_SQL = "fplayer AS (SELECT * FROM dim_player WHERE player_id IN (SELECT n_nationkey FROM nation))"
@@ -45,7 +46,7 @@ def _row_counts_sql() -> str:
 
 
 def _star_tables(spark, sf):
-    s = td.a1_star(spark, sf, with_teams=False)
+    s = fx.a1_star(spark, sf)
     return s, {
         "dim_player": s.dim_player, "dim_team": s.dim_team, "dim_venue": s.dim_venue, "dim_match": s.dim_match,
         "dim_season": dims.build_dim_season(s.dim_match), "fact_ball": s.fact_ball,
@@ -71,7 +72,7 @@ def _orphans_sql(players: str) -> str:
 
 
 def _orphans(spark, sf, players):
-    s = td.a1_star(spark, sf, with_teams=False)
+    s = fx.a1_star(spark, sf)
     per_player = quality.orphans(s.fact_ball, PLAYER_FKS, players, "player_id")
     per_match = quality.orphans(s.fact_ball, ["match_id"], s.dim_match, "match_id")
     return per_player.unionByName(per_match)
@@ -93,7 +94,7 @@ CROSS JOIN (SELECT COUNT(*) AS total FROM a1_f) t WHERE t.total > 0"""
 
 @register("quality_phase_share", a1(PHASE_SHARE_SQL.replace("r.min_share, r.max_share,", "CAST(r.min_share AS DOUBLE) AS min_share, CAST(r.max_share AS DOUBLE) AS max_share,")))
 def q_quality_phase_share(spark, sf):
-    return quality.phase_share(td.a1_fact_ball(spark, sf, with_teams=False))
+    return quality.phase_share(fx.a1_star(spark, sf).fact_ball)
 
 
 DUP_KEYS = ["match_id", "innings_number", "over_number"]
@@ -107,7 +108,7 @@ FROM (SELECT {', '.join(DUP_KEYS)}, COUNT(*) AS c FROM a1_f GROUP BY {', '.join(
     ),
 )
 def q_quality_duplicates(spark, sf):
-    return quality.duplicate_keys(td.a1_fact_ball(spark, sf, with_teams=False), DUP_KEYS)
+    return quality.duplicate_keys(fx.a1_star(spark, sf).fact_ball, DUP_KEYS)
 
 
 @register(
@@ -151,7 +152,7 @@ def _constraint_sql() -> str:
 
 @register("constraint_report", a1(_constraint_sql()))
 def q_constraint_report(spark, sf):
-    s = td.a1_star(spark, sf)
+    s = fx.a1_star(spark, sf)
     return quality.constraint_report(s, _filtered_players(spark, sf))
 
 
@@ -167,5 +168,5 @@ ACCEPT = acceptance.AcceptanceParams(
 
 @register("acceptance_checks", a1(acceptance.acceptance_sql(ACCEPT)))
 def q_acceptance_checks(spark, sf):
-    s = td.a1_star(spark, sf, with_teams=False)
+    s = fx.a1_star(spark, sf)
     return acceptance.acceptance_checks(s.fact_ball, s.dim_match, s.dim_team, ACCEPT)

@@ -13,6 +13,7 @@ from crease.plans.q_ingest import DOCS_SQL
 from crease.schemas import FACT_BALL_COLUMNS
 from crease.session import scratch_path
 from crease.sources import documents
+from crease.plans import fixtures as fx
 from crease.sources import testdata as td
 
 
@@ -31,7 +32,7 @@ def q_star_roundtrip(spark, sf):
 
 def _written_documents(spark, sf):
     root = scratch_path(spark, "docs")
-    written = write.write_documents(td.a3_match_documents(spark, sf), root)
+    written = write.write_documents(fx.a3_documents(spark, sf), root)
     written.agg(F.count(F.lit(1))).collect()  # runs the distributed write
     return documents.read_documents(spark, root)
 

@@ -77,9 +77,12 @@ class StoredStar:
 
     def __init__(self, spark: SparkSession, root: str):
         self._spark, self._root = spark, root.rstrip("/")
+        self._reads: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._root}/{name}")
+        if name not in self._reads:
+            self._reads[name] = self._spark.read.parquet(f"{self._root}/{name}")
+        return self._reads[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("dim_") or name == "fact_ball":
