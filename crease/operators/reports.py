@@ -131,14 +131,21 @@ def h2h_recent(fixture: DataFrame, limit: int = 5) -> DataFrame:
     )
 
 
-def _fixture_facts(fact_ball: DataFrame, fixture: DataFrame) -> DataFrame:
-    return fact_ball.join(fixture.select("match_id"), "match_id", "left_semi")
+def _prune_seasons(fact_ball: DataFrame, cond) -> DataFrame:
+    """When the fact is stored season-partitioned (``plans.write``), apply the season
+    predicate to it directly as well: directory pruning before the match join."""
+    return fact_ball.where(cond(F.col("season_year"))) if "season_year" in fact_ball.columns else fact_ball
 
 
-def h2h_top_batters(fact_ball: DataFrame, fixture: DataFrame, limit: int = 5) -> DataFrame:
+def _fixture_facts(fact_ball: DataFrame, fixture: DataFrame, since_year: int | None = None) -> DataFrame:
+    f = fact_ball if since_year is None else _prune_seasons(fact_ball, lambda s: s >= since_year)
+    return f.join(fixture.select("match_id"), "match_id", "left_semi")
+
+
+def h2h_top_batters(fact_ball: DataFrame, fixture: DataFrame, limit: int = 5, since_year: int | None = None) -> DataFrame:
     """Top run scorers in the fixture, by raw name and raw batting team."""
     return (
-        _fixture_facts(fact_ball, fixture)
+        _fixture_facts(fact_ball, fixture, since_year)
         .groupBy("batter_name", "batting_team")
         .agg(F.sum("batter_runs").cast("bigint").alias("runs"), F.countDistinct("match_id").alias("matches"))
         .orderBy(F.desc("runs"), F.asc("batter_name"), F.asc("batting_team"))
@@ -146,10 +153,10 @@ def h2h_top_batters(fact_ball: DataFrame, fixture: DataFrame, limit: int = 5) ->
     )
 
 
-def h2h_top_bowlers(fact_ball: DataFrame, fixture: DataFrame, limit: int = 5) -> DataFrame:
+def h2h_top_bowlers(fact_ball: DataFrame, fixture: DataFrame, limit: int = 5, since_year: int | None = None) -> DataFrame:
     """Top wicket takers in the fixture."""
     return (
-        _fixture_facts(fact_ball, fixture)
+        _fixture_facts(fact_ball, fixture, since_year)
         .groupBy("bowler_name", "bowling_team")
         .agg(count_if(F.col("is_bowler_wicket")).alias("wickets"), F.countDistinct("match_id").alias("matches"))
         .orderBy(F.desc("wickets"), F.asc("bowler_name"), F.asc("bowling_team"))
@@ -251,7 +258,7 @@ def h2h_document(
 
 def _season_facts(fact_ball: DataFrame, dim_match: DataFrame, season_year: int, tournament: str) -> DataFrame:
     m = dim_match.where((F.col("season_year") == season_year) & (F.col("tournament") == tournament)).select("match_id")
-    return fact_ball.join(m, "match_id", "left_semi")
+    return _prune_seasons(fact_ball, lambda s: s == season_year).join(m, "match_id", "left_semi")
 
 
 def squad_batting(fact_ball: DataFrame, dim_match: DataFrame, dim_player: DataFrame, team_name: str, season_year: int, tournament: str = "IPL") -> DataFrame:
@@ -334,7 +341,7 @@ def matchup_grid(
     """
     pairs = pairs.where(F.col("batter_id").isNotNull() & F.col("bowler_id").isNotNull())
     m = dim_match.where((F.col("season_year") >= since_year) & (F.col("tournament") == tournament)).select("match_id")
-    f = fact_ball
+    f = _prune_seasons(fact_ball, lambda s: s >= since_year)
     if phase is not None:
         f = f.where(F.col("match_phase") == phase)
     # the id pairs are bounded by the request (|batters| x |bowlers|): safe to broadcast,
