@@ -37,13 +37,24 @@ def write_table(df: DataFrame, path: str, columns: list[str] | None = None) -> N
     out.write.mode("overwrite").parquet(path)
 
 
-def write_fact(fact: DataFrame, dim_match: DataFrame, path: str, extra_columns: list[str] | None = None) -> None:
-    """K4 + K5: the fact, season-partitioned, clustered and sorted for pruning."""
-    cols = FACT_BALL_COLUMNS + [c for c in (extra_columns or []) if c in fact.columns and c not in FACT_BALL_COLUMNS]
-    tagged = fact.select(*cols).join(dim_match.select("match_id", "season_year"), "match_id", "left")
+def write_fact(fact: DataFrame, dim_match: DataFrame | None, path: str, extra_columns: list[str] | None = None) -> None:
+    """K4 + K5: the fact, season-partitioned, clustered and sorted for pruning.
+
+    Rows are hash-partitioned on (season_year, match_id): every match lands
+    whole in one task and the season is the leading sort key, so each task
+    writes one sorted file per season it holds.  Hash (not range) partitioning
+    avoids the sampling pass that would compute the whole upstream twice.  The
+    season tag comes from ``dim_match`` unless the fact already carries it.
+    """
+    extra = [c for c in (extra_columns or []) if c in fact.columns and c not in FACT_BALL_COLUMNS and c != "season_year"]
+    cols = FACT_BALL_COLUMNS + extra
+    if "season_year" in fact.columns:
+        tagged = fact.select(*cols, "season_year")
+    else:
+        tagged = fact.select(*cols).join(dim_match.select("match_id", "season_year"), "match_id", "left")
     (
-        tagged.repartitionByRange("season_year", "match_id")
-        .sortWithinPartitions("match_id", "innings_number", "delivery_sequence")
+        tagged.repartition("season_year", "match_id")
+        .sortWithinPartitions("season_year", "match_id", "innings_number", "delivery_sequence")
         .write.mode("overwrite")
         .partitionBy("season_year")
         .parquet(path)
@@ -65,7 +76,7 @@ def write_star(tables: dict[str, DataFrame], root: str, report: DataFrame | None
     for name, df in tables.items():
         path = f"{root.rstrip('/')}/{name}"
         if name == "fact_ball":
-            write_fact(df, tables["dim_match"], path, extra_columns=[c for c in df.columns if c not in FACT_BALL_COLUMNS])
+            write_fact(df, tables.get("dim_match"), path, extra_columns=[c for c in df.columns if c not in FACT_BALL_COLUMNS])
         else:
             write_table(df, path, [c for c in STAR_COLUMNS.get(name, df.columns) if c in df.columns])
         paths[name] = path
