@@ -21,14 +21,23 @@ from crease.plans import write
 from crease.session import scratch_path
 from crease.sources import testdata as td
 
-_STORED: dict[tuple[int, str, str], str] = {}
+_STORED: dict[tuple[str, str, str], str] = {}
 _STARS: dict[str, write.StoredStar] = {}
 
 
+def _exists(spark: SparkSession, root: str) -> bool:
+    """The stored table is still there (any filesystem Spark can read)."""
+    try:
+        spark.read.parquet(root).schema  # noqa: B018 - lists the folder, no job
+        return True
+    except Exception:  # noqa: BLE001 - missing or unreadable: rebuild
+        return False
+
+
 def _root(spark: SparkSession, sf_dir: str, name: str, build) -> str:
-    key = (id(spark), sf_dir.rstrip("/"), name)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     root = _STORED.get(key)
-    if root is None:
+    if root is None or not _exists(spark, f"{root}/dim_match" if name == "a1" else root):
         root = scratch_path(spark, f"fixture-{name}")
         build(root)
         _STORED[key] = root
