@@ -98,13 +98,19 @@ def _last_by(register: DataFrame, key: str, order: str) -> DataFrame:
     return register.groupBy(key).agg(rec.alias("r")).select(F.col(key).alias("lookup"), F.col("r.name").alias("full_name"), F.col("r.key_cricinfo").alias("cricinfo_id"))
 
 
-def enrich_players(dim_player: DataFrame, register: DataFrame, order: str = "file_order") -> DataFrame:
+def enrich_players(dim_player: DataFrame, register: DataFrame, order: str = "file_order", top_n: int | None = None) -> DataFrame:
     """Match players to the register by ``unique_name`` first, then ``name``.
 
     Duplicate register keys: the last row (by ``order``) wins.  Existing
     non-null values are kept; an empty cricinfo id counts as missing.
+    ``top_n`` (O5) limits the lookup to the first n players by name; the
+    other players pass through unchanged.
     """
     p = add_columns(dim_player, PLAYER_ENRICH_COLUMNS)
+    if top_n is not None and top_n > 0:
+        chosen = p.orderBy("player_name", "player_id").limit(top_n).select("player_id")
+        rest = p.join(chosen, "player_id", "left_anti")
+        return enrich_players(p.join(chosen, "player_id", "left_semi"), register, order).unionByName(rest.select(*p.columns))
     by_unique = _last_by(register, "unique_name", order)
     by_name = _last_by(register, "name", order)
     u = by_unique.select(F.col("lookup").alias("player_name"), F.col("full_name").alias("u_full"), F.col("cricinfo_id").alias("u_id"), F.lit(True).alias("u_hit"))
@@ -121,8 +127,9 @@ def read_register(spark: SparkSession, path: str) -> DataFrame:
     """The people register CSV (header row, all text) with its file order."""
     schema = "identifier string, name string, unique_name string, key_cricinfo string"
     df = spark.read.option("header", True).schema(schema).csv(path)
-    # file order = (file, row position); monotonically_increasing_id follows both
-    return df.withColumn("file_order", F.monotonically_increasing_id())
+    # file order = (file path, position in the file): splits of one file keep
+    # their offset order, so the generated id increases along each file
+    return df.withColumn("file_order", F.struct(F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("i")))
 
 
 # ----------------------------------------------------------------------------

@@ -204,53 +204,82 @@ def h2h_semi(dim_match: DataFrame, dim_team: DataFrame, pattern_a: str, pattern_
     )
 
 
-def h2h_document(
-    overall: DataFrame, per_season: DataFrame, by_venue: DataFrame, recent: DataFrame,
-    top_batters: DataFrame, top_bowlers: DataFrame, team_a: str, team_b: str, since_year: int,
-) -> DataFrame:
-    """K9: the combined head-to-head record as one JSON document (one row, column ``doc``).
-
-    Every section is already small (one row, or one row per season / venue /
-    top-k).  Sections are stacked with unions and folded by one global
-    aggregate; array order comes from a sort key carried with each item, so no
-    global window or cross join is needed.
+def json_document(head: dict, sections: list[tuple[str, DataFrame, tuple]], single: tuple[str, ...] = ()) -> DataFrame:
+    """K9: one JSON document (one row, column ``doc``) from small result sets.
+
+    ``head`` holds the request parameters (driver-side values).  Each section
+    is (name, rows, sort key) with the sort key as (number, number, text, text)
+    Columns, ascending; sections named in ``single`` hold one row and become an
+    object, the others arrays.  Sections are stacked with unions and folded by
+    one global aggregate: every section is a bounded report (top-k, one row per
+    season / venue / requested pair), so the fold never sees unbounded data.
     """
-    zero, blank = F.lit(0), F.lit("")
-    # (section, rows, sort key: two numbers then two strings, ascending)
-    sections = [
-        ("overall", overall, (zero, zero, blank, blank)),
-        ("per_season", per_season, (F.col("season_year"), zero, blank, blank)),
-        ("by_venue", by_venue, (-F.col("matches"), zero, F.col("venue_name"), blank)),
-        ("recent", recent, (-F.unix_date("match_date"), -F.col("match_id"), blank, blank)),
-        ("top_batters", top_batters, (-F.col("runs"), zero, F.col("batter_name"), F.col("batting_team"))),
-        ("top_bowlers", top_bowlers, (-F.col("wickets"), zero, F.col("bowler_name"), F.col("bowling_team"))),
-    ]
+    blank = F.lit("")
     items = None
     for name, df, (a, b, s1, s2) in sections:
         key = F.struct(
             a.cast("bigint").alias("a"), b.cast("bigint").alias("b"),
             F.coalesce(s1.cast("string"), blank).alias("s1"), F.coalesce(s2.cast("string"), blank).alias("s2"),
         )
-        part = df.select(
-            F.lit(name).alias("section"),
-            key.alias("k"),
-            F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("j"),
-        )
+        part = df.select(F.lit(name).alias("section"), key.alias("k"), F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("j"))
         items = part if items is None else items.unionByName(part)
 
     def arr(name: str) -> Column:
         picked = F.array_sort(F.collect_list(F.when(F.col("section") == name, F.struct("k", "j"))))
         return F.concat(F.lit("["), F.array_join(F.transform(picked, lambda x: x["j"]), ","), F.lit("]"))
 
-    head = json.dumps({"team_a": team_a, "team_b": team_b, "since_year": since_year})[:-1]
-    overall_json = F.coalesce(F.max(F.when(F.col("section") == "overall", F.col("j"))), F.lit("{}"))
-    pieces = [F.lit(head + ',"overall":'), overall_json]
-    for name in ("per_season", "by_venue", "recent", "top_batters", "top_bowlers"):
-        pieces += [F.lit(f',"{name}":'), arr(name)]
+    def obj(name: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("section") == name, F.col("j"))), F.lit("{}"))
+
+    pieces = [F.lit(json.dumps(head)[:-1])]
+    for i, (name, _, _) in enumerate(sections):
+        sep = "," if (head or i) else ""
+        pieces += [F.lit(f'{sep}"{name}":'), obj(name) if name in single else arr(name)]
     pieces.append(F.lit("}"))
     return items.agg(F.concat(*pieces).alias("doc"))
 
 
+def h2h_document(
+    overall: DataFrame, per_season: DataFrame, by_venue: DataFrame, recent: DataFrame,
+    top_batters: DataFrame, top_bowlers: DataFrame, team_a: str, team_b: str, since_year: int,
+) -> DataFrame:
+    """The combined head-to-head record as one JSON document."""
+    zero, blank = F.lit(0), F.lit("")
+    return json_document(
+        {"team_a": team_a, "team_b": team_b, "since_year": since_year},
+        [
+            ("overall", overall, (zero, zero, blank, blank)),
+            ("per_season", per_season, (F.col("season_year"), zero, blank, blank)),
+            ("by_venue", by_venue, (-F.col("matches"), zero, F.col("venue_name"), blank)),
+            ("recent", recent, (-F.unix_date("match_date"), -F.col("match_id"), blank, blank)),
+            ("top_batters", top_batters, (-F.col("runs"), zero, F.col("batter_name"), F.col("batting_team"))),
+            ("top_bowlers", top_bowlers, (-F.col("wickets"), zero, F.col("bowler_name"), F.col("bowling_team"))),
+        ],
+        single=("overall",),
+    )
+
+
+def squad_document(batting: DataFrame, bowling: DataFrame, team_name: str, season_year: int, tournament: str = "IPL") -> DataFrame:
+    """The squad report (batters and bowlers of a team-season) as one JSON document."""
+    zero = F.lit(0)
+    return json_document(
+        {"team": team_name, "tournament": tournament, "season_year": season_year},
+        [
+            ("batters", batting, (-F.col("total_runs"), zero, F.col("player_name"), F.lit(""))),
+            ("bowlers", bowling, (-F.col("wickets"), -F.col("balls_bowled"), F.col("player_name"), F.lit(""))),
+        ],
+    )
+
+
+def matchup_document(grid: DataFrame, since_year: int, phase: str | None = None) -> DataFrame:
+    """The batter-versus-bowler grid as one JSON document (one entry per requested pair)."""
+    zero = F.lit(0)
+    return json_document(
+        {"since_year": since_year, "phase": phase},
+        [("matchups", grid, (zero, zero, F.col("batter_input"), F.col("bowler_input")))],
+    )
+
+
 # ----------------------------------------------------------------------------
 # Squads: R7, R8, P30
 # ----------------------------------------------------------------------------

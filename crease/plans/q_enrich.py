@@ -13,6 +13,7 @@ from crease.operators import enrich
 from crease.oracle.adapters import A1, with_ctes
 from crease.plans.catalog import hu, register, values_sql
 from crease.plans import fixtures as fx
+from crease.session import scratch_path
 from crease.sources import testdata as td
 
 # literal metadata for three regions (test parameters; the normal form of the
@@ -27,9 +28,7 @@ CACHE_TTL_DAYS = 10
 
 
 # ---------------------------------------------------------------- J12
-@register(
-    "register_match",
-    """WITH reg AS (
+REGISTER_SQL = """WITH reg AS (
   SELECT n.n_name AS name, CASE WHEN c.c_custkey % 2 = 0 THEN n.n_name ELSE c.c_name END AS unique_name,
          CAST(c.c_custkey AS VARCHAR) AS key_cricinfo, c.c_custkey AS file_order
   FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey),
@@ -38,22 +37,44 @@ bn AS (SELECT name AS lookup, arg_max(name, file_order) AS full_name, arg_max(ke
 SELECT n.n_nationkey AS player_id, n.n_name AS player_name,
   CASE WHEN bu.lookup IS NOT NULL THEN bu.full_name ELSE bn.full_name END AS full_name,
   NULLIF(CASE WHEN bu.lookup IS NOT NULL THEN bu.cid ELSE bn.cid END, '') AS cricinfo_id
-FROM nation n LEFT JOIN bu ON bu.lookup = n.n_name LEFT JOIN bn ON bn.lookup = n.n_name""",
-)
-def q_register_match(spark, sf):
+FROM nation n LEFT JOIN bu ON bu.lookup = n.n_name LEFT JOIN bn ON bn.lookup = n.n_name"""
+
+
+def _register_rows(spark, sf):
     n = td.table(spark, sf, "nation")
     c = td.table(spark, sf, "customer")
-    players = n.select(
-        F.col("n_nationkey").alias("player_id"), F.col("n_name").alias("player_name"),
-        F.array("n_name").alias("name_variants"), F.lit("male").alias("gender"),
-    )
-    reg = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select(
+    return c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select(
+        F.col("c_custkey").cast("string").alias("identifier"),
         F.col("n_name").alias("name"),
         F.when(F.col("c_custkey") % 2 == 0, F.col("n_name")).otherwise(F.col("c_name")).alias("unique_name"),
         F.col("c_custkey").cast("string").alias("key_cricinfo"),
         F.col("c_custkey").alias("file_order"),
     )
-    return enrich.enrich_players(players, reg).select("player_id", "player_name", "full_name", "cricinfo_id")
+
+
+def _nation_players(spark, sf):
+    n = td.table(spark, sf, "nation")
+    return n.select(
+        F.col("n_nationkey").alias("player_id"), F.col("n_name").alias("player_name"),
+        F.array("n_name").alias("name_variants"), F.lit("male").alias("gender"),
+    )
+
+
+@register("register_match", REGISTER_SQL)
+def q_register_match(spark, sf):
+    return enrich.enrich_players(_nation_players(spark, sf), _register_rows(spark, sf)).select(
+        "player_id", "player_name", "full_name", "cricinfo_id"
+    )
+
+
+@register("register_csv", REGISTER_SQL)
+def q_register_csv(spark, sf):
+    """The register written as CSV files (sorted, so file order = register order) and read back."""
+    root = scratch_path(spark, "register-csv")
+    rows = _register_rows(spark, sf).orderBy("file_order").drop("file_order")
+    rows.write.option("header", True).csv(root)
+    reg = enrich.read_register(spark, root)
+    return enrich.enrich_players(_nation_players(spark, sf), reg).select("player_id", "player_name", "full_name", "cricinfo_id")
 
 
 # ---------------------------------------------------------------- J13, A12, J8

@@ -105,3 +105,10 @@ def test_infobox_values_runs_distributed(spark):
                                   "page_id long, html string")
     out = {r.page_id: r.capacity for r in enrich.infobox_values(pages).collect()}
     assert out == {1: 1234, 2: None}
+
+
+def test_register_lookup_top_n_prefix(spark):
+    players = spark.createDataFrame([("1", "B"), ("2", "A"), ("3", "C")], "player_id string, player_name string")
+    reg = spark.createDataFrame([(n, n, f"k{n}", i) for i, n in enumerate("ABC")], "name string, unique_name string, key_cricinfo string, file_order int")
+    out = {r.player_id: r.cricinfo_id for r in enrich.enrich_players(players, reg, top_n=2).collect()}
+    assert out == {"2": "kA", "1": "kB", "3": None}
