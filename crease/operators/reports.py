@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crease.functions.numeric import count_if, ratio, round_half_up
+from crease.operators.joins import semi_join_checked
 
 # --- fixed values (must equal the reference's) ---
 NO_WINNER_RESULTS = ("no result", "tie")
@@ -139,7 +140,7 @@ def _prune_seasons(fact_ball: DataFrame, cond) -> DataFrame:
 
 def _fixture_facts(fact_ball: DataFrame, fixture: DataFrame, since_year: int | None = None) -> DataFrame:
     f = fact_ball if since_year is None else _prune_seasons(fact_ball, lambda s: s >= since_year)
-    return f.join(fixture.select("match_id"), "match_id", "left_semi")
+    return semi_join_checked(f, fixture, "match_id")
 
 
 def h2h_top_batters(fact_ball: DataFrame, fixture: DataFrame, limit: int = 5, since_year: int | None = None) -> DataFrame:
@@ -287,7 +288,7 @@ def matchup_document(grid: DataFrame, since_year: int, phase: str | None = None)
 
 def _season_facts(fact_ball: DataFrame, dim_match: DataFrame, season_year: int, tournament: str) -> DataFrame:
     m = dim_match.where((F.col("season_year") == season_year) & (F.col("tournament") == tournament)).select("match_id")
-    return _prune_seasons(fact_ball, lambda s: s == season_year).join(m, "match_id", "left_semi")
+    return semi_join_checked(_prune_seasons(fact_ball, lambda s: s == season_year), m, "match_id")
 
 
 def squad_batting(fact_ball: DataFrame, dim_match: DataFrame, dim_player: DataFrame, team_name: str, season_year: int, tournament: str = "IPL") -> DataFrame:
@@ -335,7 +336,7 @@ def squad_role(fact_ball: DataFrame, dim_match: DataFrame, team_name: str, seaso
     m = dim_match.where((F.col("season_year") == season_year) & (F.col("tournament") == tournament)).select("match_id")
     bat = fact_ball.where(F.col("batting_team") == team_name).select("match_id", F.col("batter_name").alias("player_name"))
     bowl = fact_ball.where(F.col("bowling_team") == team_name).select("match_id", F.col("bowler_name").alias("player_name"))
-    appearances = bat.unionByName(bowl).join(m, "match_id", "left_semi")
+    appearances = semi_join_checked(bat.unionByName(bowl), m, "match_id")
     team_matches = appearances.agg(F.countDistinct("match_id").alias("team_matches"))
     per_player = appearances.groupBy("player_name").agg(F.countDistinct("match_id").alias("matches"))
     # one-row total attached by a join on a constant key (one row, broadcast)
@@ -377,8 +378,7 @@ def matchup_grid(
     # and applied first so only the requested pairs' balls reach the match join
     ids = F.broadcast(pairs.select("batter_id", "bowler_id").distinct())
     stats = (
-        f.join(ids, ["batter_id", "bowler_id"], "left_semi")
-        .join(m, "match_id", "left_semi")
+        semi_join_checked(f.join(ids, ["batter_id", "bowler_id"], "left_semi"), m, "match_id")
         .groupBy("batter_id", "bowler_id")
         .agg(
             count_if(F.col("is_legal_delivery")).alias("balls"),
