@@ -113,3 +113,28 @@ def test_chase_edges_and_decimal_overflow(spark):
     assert derived.decimal_overflow(out).first().overflow_rows == 1
     inn1 = {r.delivery_sequence: r for r in out.where("innings_number = 1 AND match_id = 'm'").collect()}
     assert inn1[2].cumulative_runs_in_innings == 20 and inn1[2].required_run_rate is None
+
+
+def test_chunked_windows_equal_the_single_shuffle_plan(spark):
+    from crease.sources import testdata as td
+
+    ball = td.a2_ball_log(spark, "/root/testdata/sf0.01")
+    cols = ["match_id", "innings_number", "delivery_sequence", "cumulative_runs_in_innings", "cumulative_wickets_in_innings",
+            "batter_innings_runs_so_far", "partnership_id", "partnership_runs_so_far", "required_run_rate", "pressure_index"]
+    want = derived.derived_columns(ball).select(*cols)
+    for k in (1, 3, 1000):
+        got = derived.derived_columns_chunked(ball, overs_per_chunk=k).select(*cols)
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0, k
+
+
+def test_auto_plan_switches_to_chunks_for_a_hot_innings(spark):
+    # one innings of 600 balls (100 overs) against a bound of 100 rows: chunked plan
+    rows = [("hot", 1, i, (i - 1) // 6 + 1, (i - 1) % 6 + 1, "A" if i % 3 else "B", i % 4, i % 4, i % 50 == 0) for i in range(1, 601)]
+    rows += [("hot", 2, i, (i - 1) // 6 + 1, (i - 1) % 6 + 1, "C", 1, 1, False) for i in range(1, 13)]
+    fact = _balls(spark, rows)
+    cols = ["match_id", "innings_number", "delivery_sequence", "cumulative_runs_in_innings", "batter_innings_runs_so_far",
+            "partnership_id", "partnership_runs_so_far", "required_run_rate"]
+    want = derived.derived_columns(fact).select(*cols)
+    got = derived.derived_columns_auto(fact, max_innings_rows=100).select(*cols)
+    assert "chunk" not in got.columns
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
