@@ -24,10 +24,6 @@ GENDERS = ("male", "female")
 # --- end fixed values ---
 
 
-def _unpivot(one_row: DataFrame, names: list[str], var: str, val: str) -> DataFrame:
-    return one_row.unpivot([], names, var, val)
-
-
 def non_null_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """Populated (non-null) count per column in one pass; flag columns with none."""
     agg = df.agg(F.count(F.lit(1)).alias("total"), *[F.count(c).alias(c) for c in cols])
@@ -68,15 +64,22 @@ def stacked_ids(fact: DataFrame, fk_cols: list[str]) -> DataFrame:
 
 def orphans(fact: DataFrame, fk_cols: list[str], dim: DataFrame, dim_key: str) -> DataFrame:
     """Rows whose id has no dimension row, per id column (NULL ids count as
-    orphans, as LEFT JOIN ... IS NULL does).  One anti join for all columns."""
-    ids = stacked_ids(fact, fk_cols)
+    orphans, as LEFT JOIN ... IS NULL does).
+
+    Ids are counted per (column, id) first (partial aggregation), so a hot id
+    or a mass of NULLs becomes one row per task before any shuffle; NULL ids
+    are orphans by definition and skip the join; one anti join then checks the
+    distinct ids of all columns against the dimension.
+    """
+    counted = stacked_ids(fact, fk_cols).groupBy("fk_column", "id").agg(F.count(F.lit(1)).alias("n"))
+    nulls = counted.where(F.col("id").isNull())
     keys = dim.select(F.col(dim_key).cast("string").alias("id"))
-    missing = ids.join(keys, "id", "left_anti")
-    counts = missing.groupBy("fk_column").agg(F.count(F.lit(1)).alias("orphan_rows"))
+    missing = counted.where(F.col("id").isNotNull()).join(keys, "id", "left_anti").unionByName(nulls)
+    counts = missing.groupBy("fk_column").agg(F.sum("n").alias("orphan_rows"))
     spark = fact.sparkSession
     all_cols = spark.createDataFrame([(c,) for c in fk_cols], "fk_column string")
     return all_cols.join(counts, "fk_column", "left").select(
-        "fk_column", F.coalesce("orphan_rows", F.lit(0).cast("bigint")).alias("orphan_rows")
+        "fk_column", F.coalesce("orphan_rows", F.lit(0)).cast("bigint").alias("orphan_rows")
     )
 
 
@@ -173,7 +176,7 @@ def constraint_report(star, player_dim: DataFrame | None = None) -> DataFrame:
         F.col("orphan_rows").cast("bigint").alias("violations"),
     )
     parts.append(fk)
-    fk_match = fact.select("match_id").join(dm.select("match_id"), "match_id", "left_anti").agg(F.count(F.lit(1)).alias("violations"))
+    fk_match = orphans(fact, ["match_id"], dm, "match_id").select(F.col("orphan_rows").alias("violations"))
     parts.append(fk_match.select(F.lit("fact_ball").alias("table_name"), F.lit("fk_match_id").alias("constraint_name"), "violations"))
     out = parts[0]
     for p in parts[1:]:

@@ -40,10 +40,11 @@ def write_table(df: DataFrame, path: str, columns: list[str] | None = None) -> N
 def write_fact(fact: DataFrame, dim_match: DataFrame | None, path: str, extra_columns: list[str] | None = None) -> None:
     """K4 + K5: the fact, season-partitioned, clustered and sorted for pruning.
 
-    Rows are hash-partitioned on (season_year, match_id): every match lands
-    whole in one task and the season is the leading sort key, so each task
-    writes one sorted file per season it holds.  Hash (not range) partitioning
-    avoids the sampling pass that would compute the whole upstream twice.  The
+    Rows are rebalanced on (season_year, match_id): hash-clustered on those
+    keys, with AQE splitting any skewed partition (a hot match) and merging
+    small ones; the season is the leading sort key, so each task writes one
+    sorted file per season it holds.  Hash (not range) partitioning avoids the
+    sampling pass that would compute the whole upstream twice.  The
     season tag comes from ``dim_match`` unless the fact already carries it.
     """
     extra = [c for c in (extra_columns or []) if c in fact.columns and c not in FACT_BALL_COLUMNS and c != "season_year"]
@@ -53,7 +54,7 @@ def write_fact(fact: DataFrame, dim_match: DataFrame | None, path: str, extra_co
     else:
         tagged = fact.select(*cols).join(dim_match.select("match_id", "season_year"), "match_id", "left")
     (
-        tagged.repartition("season_year", "match_id")
+        tagged.hint("rebalance", "season_year", "match_id")
         .sortWithinPartitions("season_year", "match_id", "innings_number", "delivery_sequence")
         .write.mode("overwrite")
         .partitionBy("season_year")
