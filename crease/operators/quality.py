@@ -11,7 +11,7 @@ job run *before* anything is written.  Scale rules followed here:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crease.functions.numeric import count_if
@@ -62,27 +62,44 @@ def stacked_ids(fact: DataFrame, fk_cols: list[str]) -> DataFrame:
     return fact.select(F.explode(arr).alias("x")).select("x.fk_column", "x.id")
 
 
-def orphans(fact: DataFrame, fk_cols: list[str], dim: DataFrame, dim_key: str) -> DataFrame:
-    """Rows whose id has no dimension row, per id column (NULL ids count as
-    orphans, as LEFT JOIN ... IS NULL does).
+def fk_counts(fact: DataFrame, refs: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Orphan and NULL counts for many foreign keys in one pass over ``fact``.
 
-    Ids are counted per (column, id) first (partial aggregation), so a hot id
-    or a mass of NULLs becomes one row per task before any shuffle; NULL ids
-    are orphans by definition and skip the join; one anti join then checks the
-    distinct ids of all columns against the dimension.
+    ``refs`` maps an id column to (dimension, key column).  Ids of all columns
+    are stacked and counted per (column, id) (partial aggregation: a hot id
+    or a mass of NULLs becomes one row per task before any shuffle).  The
+    distinct non-null ids, tagged with their column, are checked by one anti
+    join against the union of the tagged dimension keys.
+    Returns (fk_column, orphan_rows, null_rows); NULL ids are counted in
+    ``orphan_rows`` too, as LEFT JOIN ... IS NULL does.
     """
-    counted = stacked_ids(fact, fk_cols).groupBy("fk_column", "id").agg(F.count(F.lit(1)).alias("n"))
+    cols = list(refs)
+    counted = stacked_ids(fact, cols).groupBy("fk_column", "id").agg(F.count(F.lit(1)).alias("n"))
+    keys = None
+    for c, (dim, key) in refs.items():
+        k = dim.select(F.lit(c).alias("fk_column"), F.col(key).cast("string").alias("id"))
+        keys = k if keys is None else keys.unionByName(k)
+    present = counted.where(F.col("id").isNotNull())
+    missing = present.join(keys.distinct(), ["fk_column", "id"], "left_anti")
     nulls = counted.where(F.col("id").isNull())
-    keys = dim.select(F.col(dim_key).cast("string").alias("id"))
-    missing = counted.where(F.col("id").isNotNull()).join(keys, "id", "left_anti").unionByName(nulls)
-    counts = missing.groupBy("fk_column").agg(F.sum("n").alias("orphan_rows"))
-    spark = fact.sparkSession
-    all_cols = spark.createDataFrame([(c,) for c in fk_cols], "fk_column string")
+    per = missing.select("fk_column", "n", F.lit(0).cast("bigint").alias("z")).unionByName(
+        nulls.select("fk_column", "n", F.col("n").alias("z"))
+    )
+    counts = per.groupBy("fk_column").agg(F.sum("n").alias("orphan_rows"), F.sum("z").alias("null_rows"))
+    all_cols = fact.sparkSession.createDataFrame([(c,) for c in cols], "fk_column string")
     return all_cols.join(counts, "fk_column", "left").select(
-        "fk_column", F.coalesce("orphan_rows", F.lit(0)).cast("bigint").alias("orphan_rows")
+        "fk_column",
+        F.coalesce("orphan_rows", F.lit(0)).cast("bigint").alias("orphan_rows"),
+        F.coalesce("null_rows", F.lit(0)).cast("bigint").alias("null_rows"),
     )
 
 
+def orphans(fact: DataFrame, fk_cols: list[str], dim: DataFrame, dim_key: str) -> DataFrame:
+    """Rows whose id has no dimension row, per id column (NULL ids count as
+    orphans, as LEFT JOIN ... IS NULL does); see ``fk_counts``."""
+    return fk_counts(fact, {c: (dim, dim_key) for c in fk_cols}).select("fk_column", "orphan_rows")
+
+
 def orphan_ids(fact: DataFrame, fk_cols: list[str], dim: DataFrame, dim_key: str) -> DataFrame:
     """Distinct missing ids per column with their count and one sample id."""
     ids = stacked_ids(fact, fk_cols).where(F.col("id").isNotNull()).distinct()
@@ -96,9 +113,11 @@ def phase_share(fact: DataFrame, ranges: dict[str, tuple[float, float]] = PHASE_
     spark = fact.sparkSession
     rng = spark.createDataFrame([(k, float(lo), float(hi)) for k, (lo, hi) in ranges.items()], "match_phase string, min_share double, max_share double")
     counts = fact.groupBy("match_phase").agg(F.count(F.lit(1)).alias("n"))
-    total = fact.agg(F.count(F.lit(1)).alias("total"))
-    out = F.broadcast(rng).join(counts, "match_phase", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
-    # total is one row: attach it with a join on a constant (one row, broadcast)
+    # one fact pass: the total is the sum of the per-phase counts (one row per phase
+    # value, so this window sees a handful of rows)
+    counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy()))
+    total = counts.select("total").distinct()
+    out = F.broadcast(rng).join(counts.drop("total"), "match_phase", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
     out = out.withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k").drop("_k")
     share = F.try_divide(F.col("n").cast("double"), F.col("total").cast("double"))
     return out.where(F.col("total") > 0).select(
@@ -162,22 +181,16 @@ def constraint_report(star, player_dim: DataFrame | None = None) -> DataFrame:
         F.lit("fact_ball").alias("table_name"), F.lit("primary_key").alias("constraint_name"), F.col("extra_rows").alias("violations")
     )
     parts.append(pk)
-    # FKs from the fact to players: NULL optional ids (player out, fielder) are allowed
-    fk_req = orphans(fact, ["batter_id", "bowler_id", "non_striker_id"], dp, "player_id")
-    fk_opt = orphans(
-        fact.select(*[F.col(c) for c in ("player_out_id", "fielder_id")]), ["player_out_id", "fielder_id"], dp, "player_id"
-    )
-    null_opt = fact.agg(
-        count_if(F.col("player_out_id").isNull()).alias("player_out_id"), count_if(F.col("fielder_id").isNull()).alias("fielder_id")
-    ).unpivot([], ["player_out_id", "fielder_id"], "fk_column", "nulls")
-    fk_opt = fk_opt.join(null_opt, "fk_column").select("fk_column", (F.col("orphan_rows") - F.col("nulls")).alias("orphan_rows"))
-    fk = fk_req.unionByName(fk_opt).select(
+    # every FK of the fact in one pass; NULL optional ids (player out, fielder) are allowed
+    optional = ("player_out_id", "fielder_id")
+    refs = {c: (dp, "player_id") for c in ("batter_id", "bowler_id", "non_striker_id", *optional)}
+    refs["match_id"] = (dm, "match_id")
+    fk = fk_counts(fact, refs)
+    viol = F.when(F.col("fk_column").isin(*optional), F.col("orphan_rows") - F.col("null_rows")).otherwise(F.col("orphan_rows"))
+    parts.append(fk.select(
         F.lit("fact_ball").alias("table_name"), F.concat(F.lit("fk_"), F.col("fk_column")).alias("constraint_name"),
-        F.col("orphan_rows").cast("bigint").alias("violations"),
-    )
-    parts.append(fk)
-    fk_match = orphans(fact, ["match_id"], dm, "match_id").select(F.col("orphan_rows").alias("violations"))
-    parts.append(fk_match.select(F.lit("fact_ball").alias("table_name"), F.lit("fk_match_id").alias("constraint_name"), "violations"))
+        viol.cast("bigint").alias("violations"),
+    ))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -215,7 +228,9 @@ def run_all_checks(
         F.concat(F.lit("row_count:"), "table_name").alias("check_name"), F.lit("fail").alias("severity"),
         F.col("actual").cast("double").alias("observed"), "passed",
     )
-    orph = orphans(fact, list(player_fks), dim_player, "player_id").unionByName(orphans(fact, ["match_id"], dim_match, "match_id"))
+    refs = {c: (dim_player, "player_id") for c in player_fks}
+    refs["match_id"] = (dim_match, "match_id")
+    orph = fk_counts(fact, refs)
     orph = orph.select(
         F.concat(F.lit("orphans:"), "fk_column").alias("check_name"), F.lit("fail").alias("severity"),
         F.col("orphan_rows").cast("double").alias("observed"), (F.col("orphan_rows") == 0).alias("passed"),
