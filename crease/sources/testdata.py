@@ -18,6 +18,8 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from crease.schemas import DIM_MATCH_COLUMNS, FACT_BALL_COLUMNS
+
 
 _READS: dict[tuple[int, str], DataFrame] = {}
 
@@ -116,21 +118,6 @@ def a1_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-DIM_MATCH_COLUMNS = [
-    "match_id", "season_year", "match_date", "tournament", "gender", "venue_id", "team1_id", "team2_id",
-    "toss_winner_team_id", "toss_decision", "winner_team_id", "win_by_runs", "win_by_wickets", "result",
-    "method", "player_of_match_id",
-]
-
-FACT_BALL_COLUMNS = [
-    "match_id", "innings_number", "delivery_sequence", "over_number", "ball_in_over", "match_phase",
-    "batting_team", "bowling_team", "batter_name", "batter_id", "bowler_name", "bowler_id",
-    "non_striker_name", "non_striker_id", "batter_runs", "extras_runs", "total_runs", "extras_type",
-    "is_legal_delivery", "is_dot_ball", "is_boundary_four", "is_boundary_six", "is_wicket",
-    "is_bowler_wicket", "wicket_kind", "player_out_name", "player_out_id", "fielder_name", "fielder_id",
-]
-
-
 def a1_dim_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a1_matches(spark, sf_dir).select(*DIM_MATCH_COLUMNS)
 

@@ -77,3 +77,15 @@ def test_grid_pairs_are_broadcast(spark, star):
     pairs = resolve.grid_pairs(spark, res, names, names)
     plan = plan_of(reports.matchup_grid(star.fact_ball, star.dim_match, pairs, 1990))
     assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
+
+
+def test_fixture_filter_does_not_shuffle_the_fact(spark, star):
+    from crease.operators import reports
+
+    fx = reports.fixture_matches(star.dim_match, star.dim_team, star.dim_venue, "NATION_0", "NATION_1", 1990)
+    plan = plan_of(reports.h2h_top_batters(star.fact_ball, fx))
+    lines = plan.split("\n")
+    scan = next(i for i, l in enumerate(lines) if "FileScan parquet" in l and "fact_ball" in l)
+    join = max(i for i in range(scan) if "BroadcastHashJoin" in lines[i])
+    assert "LeftSemi" in lines[join]
+    assert not any("Exchange" in l for l in lines[join + 1:scan]), lines[join:scan + 1]
