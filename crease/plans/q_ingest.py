@@ -86,17 +86,15 @@ FLATTEN_COLS = [
 ]
 
 
-@register(
-    "delivery_flatten",
-    a3(
-        """SELECT CAST(match_id AS VARCHAR) AS match_id, innings_number, seq AS delivery_sequence, over_number, ball_in_over,
+DELIVERY_FLATTEN_BODY = """SELECT CAST(match_id AS VARCHAR) AS match_id, innings_number, seq AS delivery_sequence, over_number, ball_in_over,
   CASE WHEN innings_number = 1 THEN 'T1' ELSE 'T2' END AS batting_team,
   CASE WHEN innings_number = 1 THEN 'T2' ELSE 'T1' END AS bowling_team,
   batter_name, 'id-' || batter_name AS batter_id, bowler_name, 'id-' || bowler_name AS bowler_id,
   non_striker_name, 'id-' || non_striker_name AS non_striker_id, batter_runs, extras_runs, total_runs
 FROM flat"""
-    ),
-)
+
+
+@register("delivery_flatten", a3(DELIVERY_FLATTEN_BODY))
 def q_delivery_flatten(spark, sf):
     return _fact(spark, sf).select(*FLATTEN_COLS)
 

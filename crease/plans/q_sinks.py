@@ -9,7 +9,7 @@ from crease.operators import dims, quality
 from crease.oracle.adapters import A1, A2, with_ctes
 from crease.plans import write
 from crease.plans.catalog import register
-from crease.plans.q_ingest import DOCS_SQL
+from crease.plans.q_ingest import DELIVERY_FLATTEN_BODY, DOCS_SQL, FLATTEN_COLS
 from crease.schemas import FACT_BALL_COLUMNS
 from crease.session import scratch_path
 from crease.sources import documents
@@ -64,3 +64,19 @@ UNION ALL SELECT 'TOTAL', COUNT(*) FROM docs""",
 def q_file_counts(spark, sf):
     docs = _written_documents(spark, sf)
     return documents.file_counts(docs)
+
+
+
+@register("stream_ingest", with_ctes(DELIVERY_FLATTEN_BODY, A2, DOCS_SQL))
+def q_stream_ingest(spark, sf):
+    """Incremental ingest: the A3 documents land as files, one availableNow run of the
+    stream picks them up, and the appended ball rows are read back."""
+    import uuid
+
+    from crease.streaming.ingest import start_ingest
+
+    landing, target = scratch_path(spark, "landing"), scratch_path(spark, "stream-out")
+    write.write_documents(fx.a3_documents(spark, sf), landing).agg(F.count(F.lit(1))).collect()
+    q = start_ingest(spark, landing, target, name=f"ingest-{uuid.uuid4().hex[:12]}")
+    q.awaitTermination()
+    return spark.read.parquet(f"{target}/fact_ball").select(*FLATTEN_COLS)
