@@ -228,3 +228,38 @@ def q_html_infobox(spark, sf):
     """P18 over every page (no SQL oracle: needs an HTML parser; tested in pytest)."""
     p = td.table(spark, sf, "pages").select("page_id", "html")
     return enrich.infobox_values(p).select("page_id", "capacity")
+
+
+# ---------------------------------------------------------------- A13 over every enriched table
+def _validation_sql() -> str:
+    from crease.oracle.adapters import A2
+    from crease.plans.q_derived import RUNNING_CTES
+
+    chase = with_ctes("SELECT * FROM chase", A2, RUNNING_CTES)
+    venues = with_ctes("SELECT * FROM enriched", A1, VENUE_SQL)
+    parts = [
+        ("fact_ball", "required_run_rate", chase), ("fact_ball", "pressure_index", chase),
+        ("dim_player", "full_name", REGISTER_SQL), ("dim_player", "cricinfo_id", REGISTER_SQL),
+        ("dim_venue", "capacity", venues),
+    ]
+    body = "\nUNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS col_name, COUNT({c}) AS populated, COUNT(*) AS total FROM ({q})" for t, c, q in parts
+    )
+    return f"SELECT *, populated = 0 AS zero_populated FROM ({body})"
+
+
+@register("enrichment_validation", _validation_sql())
+def q_enrichment_validation(spark, sf):
+    """Populated counts of every enriched column, per table (warn on zero)."""
+    from crease.operators import derived, quality
+
+    fact = derived.with_chase_columns(derived.with_running_columns(td.a2_ball_log(spark, sf), repartition=False))
+    players = q_register_match(spark, sf)
+    venues, _ = _enriched(spark, sf)
+    out = None
+    for table, df, cols in (("fact_ball", fact, ["required_run_rate", "pressure_index"]),
+                            ("dim_player", players, ["full_name", "cricinfo_id"]),
+                            ("dim_venue", venues, ["capacity"])):
+        part = quality.non_null_counts(df, cols).select(F.lit(table).alias("table_name"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
