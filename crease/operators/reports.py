@@ -108,14 +108,22 @@ def h2h_venue(fixture: DataFrame, team_a: str, team_b: str, min_matches: int = 2
     )
 
 
-def margin_text(runs: Column | str, wickets: Column | str, result: Column | str) -> Column:
-    """P19: 'tie' / 'no result' label, else 'by N runs' / 'by N wickets'; 0 counts as absent."""
-    r, w, res = (F.col(x) if isinstance(x, str) else x for x in (runs, wickets, result))
+def margin_text(runs: Column | str, wickets: Column | str, result: Column | str | None,
+                otherwise: str = "n/a") -> Column:
+    """P19: 'tie' / 'no result' label, else 'by N runs' / 'by N wickets'; 0 counts as absent.
+
+    The fixed-fixture report's variant ignores the result label and falls back to
+    'no result': ``margin_text(runs, wickets, None, otherwise="no result")``.
+    """
+    r, w = (F.col(x) if isinstance(x, str) else x for x in (runs, wickets))
+    expr = F.when(F.lit(False), F.lit(None).cast("string"))
+    if result is not None:
+        res = F.col(result) if isinstance(result, str) else result
+        expr = F.when(res.isin(*NO_WINNER_RESULTS), res)
     return (
-        F.when(res.isin(*NO_WINNER_RESULTS), res)
-        .when(F.coalesce(r, F.lit(0)) != 0, F.concat(F.lit("by "), r.cast("string"), F.lit(" runs")))
+        expr.when(F.coalesce(r, F.lit(0)) != 0, F.concat(F.lit("by "), r.cast("string"), F.lit(" runs")))
         .when(F.coalesce(w, F.lit(0)) != 0, F.concat(F.lit("by "), w.cast("string"), F.lit(" wickets")))
-        .otherwise(F.lit("n/a"))
+        .otherwise(F.lit(otherwise))
     )
 
 

@@ -112,3 +112,14 @@ def test_register_lookup_top_n_prefix(spark):
     reg = spark.createDataFrame([(n, n, f"k{n}", i) for i, n in enumerate("ABC")], "name string, unique_name string, key_cricinfo string, file_order int")
     out = {r.player_id: r.cricinfo_id for r in enrich.enrich_players(players, reg, top_n=2).collect()}
     assert out == {"2": "kA", "1": "kB", "3": None}
+
+
+def test_margin_text_variants(spark):
+    from crease.operators.reports import margin_text
+
+    df = spark.createDataFrame([(10, None, None), (None, 3, None), (0, 0, "tie"), (None, None, None)],
+                               "r int, w int, res string")
+    std = [x[0] for x in df.select(margin_text("r", "w", "res")).collect()]
+    alt = [x[0] for x in df.select(margin_text("r", "w", None, otherwise="no result")).collect()]
+    assert std == ["by 10 runs", "by 3 wickets", "tie", "n/a"]
+    assert alt == ["by 10 runs", "by 3 wickets", "no result", "no result"]
