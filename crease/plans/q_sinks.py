@@ -80,3 +80,15 @@ def q_stream_ingest(spark, sf):
     q = start_ingest(spark, landing, target, name=f"ingest-{uuid.uuid4().hex[:12]}")
     q.awaitTermination()
     return spark.read.parquet(f"{target}/fact_ball").select(*FLATTEN_COLS)
+
+
+@register("etl_run", with_ctes(DELIVERY_FLATTEN_BODY, A2, DOCS_SQL))
+def q_etl_run(spark, sf):
+    """The end-to-end job on the A3 documents landed as files: scan, classify, dimensions,
+    fact, running columns, constraint gate, write; the written fact is read back."""
+    from crease.plans import etl
+
+    src, dst = scratch_path(spark, "etl-src"), scratch_path(spark, "etl-star")
+    write.write_documents(fx.a3_documents(spark, sf), src).agg(F.count(F.lit(1))).collect()
+    etl.run_etl(spark, src, dst)
+    return write.StoredStar(spark, dst).fact_ball.select(*FLATTEN_COLS)
