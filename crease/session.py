@@ -52,19 +52,25 @@ def apply_semantics(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+_LOCAL_ROOT: str | None = None
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for cut lineage and written intermediate tables.
 
-    Uses ``spark.checkpoint.dir`` when the cluster names one; otherwise (local
-    runs and tests only) creates a fresh scratch folder and records it.
+    Uses ``spark.checkpoint.dir`` when the session names one; otherwise (local
+    runs and tests only) a scratch folder is created once per process.  The
+    setting itself is not modified (it is a core setting, fixed at start-up).
     """
+    global _LOCAL_ROOT
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="crease-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    jsc = spark.sparkContext
-    if jsc.getCheckpointDir() is None:
-        jsc.setCheckpointDir(root)
+        if _LOCAL_ROOT is None:
+            _LOCAL_ROOT = tempfile.mkdtemp(prefix="crease-ckpt-")
+        root = _LOCAL_ROOT
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
     return root
 
 
