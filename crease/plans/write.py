@@ -121,7 +121,9 @@ def write_documents(docs: DataFrame, root: str) -> DataFrame:
         import pandas as pd
         import pyarrow.fs as pafs
 
-        if "://" in root:
+        if root.startswith("file:"):
+            fs, base = pafs.LocalFileSystem(), "/" + root[len("file:"):].lstrip("/")
+        elif "://" in root:
             fs, base = pafs.FileSystem.from_uri(root)
         else:
             fs, base = pafs.LocalFileSystem(), root
