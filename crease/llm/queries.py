@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crease.llm import sharding
+from crease.llm import bpe, sharding
 from crease.llm.common import table, unsigned_crc32
 
 
@@ -28,6 +28,23 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text to ids and back; digests of both."""
+    import public_tokenizers as public
+
+    ranks = public.path("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents")
+    ids = bpe.encode(docs, "text", ["doc_id"], ranks, public.PATTERN).select(
+        "doc_id",
+        "ids",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+    )
+    back = bpe.decode(ids, "ids", ["doc_id", "n_tokens", "ids_sha256"], ranks, public.PATTERN)
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
+    "op10_bpe": (op10_bpe, None),
     "op7_sharding": (op7_sharding, None),
 }
