@@ -30,6 +30,7 @@ import base64
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -219,6 +220,12 @@ class Codec:
         return level[0] if level else b""
 
 
+@lru_cache(maxsize=2)
+def codec(ranks_path: str, pattern: str) -> Codec:
+    """One codec for each Python worker, so that tasks share its cached words."""
+    return Codec(read_ranks(ranks_path), pattern)
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS_OUT):
@@ -232,9 +239,9 @@ def encode(df: DataFrame, text: str, keep: list[str], ranks_path: str, pattern:
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
     def run(batches):
-        codec = Codec(read_ranks(ranks_path), pattern)
+        bpe = codec(ranks_path, pattern)
         for batch in _slices(batches):
-            found = [codec.encode(t or "") for t in batch.column("_text").to_pylist()]
+            found = [bpe.encode(t or "") for t in batch.column("_text").to_pylist()]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             values = np.concatenate([*found, np.empty(0, dtype="<u4")]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
@@ -250,10 +257,10 @@ def decode(df: DataFrame, ids: str, keep: list[str], ranks_path: str, pattern: s
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
-        codec = Codec(read_ranks(ranks_path), pattern)
+        bpe = codec(ranks_path, pattern)
         for batch in _slices(batches):
             lists = batch.column("_ids")
-            decoded = [codec.decode(np.asarray(x.values if x.is_valid else [], dtype=np.int64)) for x in lists]
+            decoded = [bpe.decode(np.asarray(x.values if x.is_valid else [], dtype=np.int64)) for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(decoded, pa.binary())], names=schema.names)
 
     return source.mapInArrow(run, schema).toDF(*keep, "decoded")
