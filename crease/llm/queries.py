@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crease.llm import bpe, sharding
+from crease.llm import bpe, packing, sharding
 from crease.llm.common import table, unsigned_crc32
 
 
+SEQUENCE = 1024
+END_ID = 2
+
+
+def packed_documents(docs: DataFrame) -> DataFrame:
+    import public_tokenizers as public
+
+    found = packing.pieces(docs, "doc_id", "text", public.path("byte_bpe_50k.json"), public.PATTERN, END_ID, SEQUENCE)
+    return packing.pack(found, SEQUENCE)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token pieces in as few 1024-token sequences as best-fit with exchange reaches."""
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 40 shards by the bounded-load ring; row counts are at most one apart."""
     docs = table(spark, sf_dir, "documents").select(
@@ -45,6 +61,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_packing": (op4_packing, None),
     "op10_bpe": (op10_bpe, None),
     "op7_sharding": (op7_sharding, None),
 }
