@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crease.llm import bpe, packing, sharding
+from crease.llm import bpe, linededup, packing, sharding
 from crease.llm.common import table, unsigned_crc32
 
 
@@ -25,6 +25,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the three-line windows that occurred before."""
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 40 shards by the bounded-load ring; row counts are at most one apart."""
     docs = table(spark, sf_dir, "documents").select(
@@ -63,5 +68,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_packing": (op4_packing, None),
     "op10_bpe": (op10_bpe, None),
+    "op5_line_dedup": (op5_line_dedup, linededup.ORACLE_SQL),
     "op7_sharding": (op7_sharding, None),
 }
