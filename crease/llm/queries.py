@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crease.llm import bpe, linededup, packing, sharding
+from crease.llm import bpe, chunkdedup, linededup, packing, sharding
 from crease.llm.common import table, unsigned_crc32
 
 
@@ -49,6 +49,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that another document or an earlier place holds."""
+    return chunkdedup.dedup_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text to ids and back; digests of both."""
     import public_tokenizers as public
@@ -67,6 +72,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_packing": (op4_packing, None),
+    "op9_substring_dedup": (op9_substring_dedup, None),
     "op10_bpe": (op10_bpe, None),
     "op5_line_dedup": (op5_line_dedup, linededup.ORACLE_SQL),
     "op7_sharding": (op7_sharding, None),
