@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crease.llm import bpe, chunkdedup, linededup, packing, sharding
+from crease.llm import bpe, chunkdedup, langid, linededup, packing, sharding
 from crease.llm.common import table, unsigned_crc32
 
 
@@ -49,6 +49,22 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Documents that a language model may not learn from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def language_model(docs: DataFrame) -> langid.Model | None:
+    return langid.fit(docs.where(~held_out()), "text", "lang", F.xxhash64("doc_id", "text"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from labelled documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, "text", ["doc_id"], language_model(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that another document or an earlier place holds."""
     return chunkdedup.dedup_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -72,6 +88,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_packing": (op4_packing, None),
+    "op8_language_id": (op8_language_id, None),
     "op9_substring_dedup": (op9_substring_dedup, None),
     "op10_bpe": (op10_bpe, None),
     "op5_line_dedup": (op5_line_dedup, linededup.ORACLE_SQL),
