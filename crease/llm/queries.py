@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crease.llm import bpe, chunkdedup, langid, linededup, packing, sharding
+from crease.llm import bpe, chunkdedup, jaccard, langid, linededup, packing, sharding
 from crease.llm.common import table, unsigned_crc32
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles have a Jaccard similarity of at least 0.9."""
+    docs = table(spark, sf_dir, "documents")
+    return jaccard.jaccard_components(docs, "doc_id", "text", words=3, num=9, den=10).drop("set_id")
+
+
 SEQUENCE = 1024
 END_ID = 2
 
@@ -87,6 +93,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_jaccard_join": (op3_jaccard_join, None),
     "op4_packing": (op4_packing, None),
     "op8_language_id": (op8_language_id, None),
     "op9_substring_dedup": (op9_substring_dedup, None),
