@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crease.llm import bpe, chunkdedup, jaccard, langid, linededup, packing, sharding
+from crease.llm import annsearch, bpe, chunkdedup, jaccard, langid, linededup, packing, sharding
 from crease.llm.common import table, unsigned_crc32
 
 
@@ -36,6 +36,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest by inner product of every vector with an id divisible by 20, among all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return annsearch.search(vectors, "vec_id", "embedding", F.col("_id") % 20 == 0, k=20)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 40 shards by the bounded-load ring; row counts are at most one apart."""
     docs = table(spark, sf_dir, "documents").select(
@@ -99,5 +105,6 @@ QUERIES = {
     "op9_substring_dedup": (op9_substring_dedup, None),
     "op10_bpe": (op10_bpe, None),
     "op5_line_dedup": (op5_line_dedup, linededup.ORACLE_SQL),
+    "op6_nearest": (op6_nearest, None),
     "op7_sharding": (op7_sharding, None),
 }
