@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crease.llm import annsearch, bpe, chunkdedup, jaccard, langid, linededup, packing, sharding
+from crease.llm import annsearch, bpe, chunkdedup, graphdedup, jaccard, langid, linededup, packing, sharding
 from crease.llm.common import table, unsigned_crc32
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and the kept vector of all embeddings at a cosine of at least 0.95."""
+    return graphdedup.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of three-word shingles have a Jaccard similarity of at least 0.9."""
     docs = table(spark, sf_dir, "documents")
@@ -99,6 +104,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_near_dedup": (op2_near_dedup, None),
     "op3_jaccard_join": (op3_jaccard_join, None),
     "op4_packing": (op4_packing, None),
     "op8_language_id": (op8_language_id, None),
