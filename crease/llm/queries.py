@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crease.llm import annsearch, bpe, chunkdedup, graphdedup, jaccard, langid, linededup, packing, sharding
+from crease.llm import annsearch, bpe, chunkdedup, graphdedup, jaccard, langid, linededup, packing, quality, sharding
 from crease.llm.common import table, unsigned_crc32
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under a model of the documents labelled good, and whether it passes."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.judge(docs, "doc_id", "text", "lang", labels, "doc_id", F.col("quality") == 1)
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, component and the kept vector of all embeddings at a cosine of at least 0.95."""
     return graphdedup.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
@@ -104,6 +110,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": (op1_quality, None),
     "op2_near_dedup": (op2_near_dedup, None),
     "op3_jaccard_join": (op3_jaccard_join, None),
     "op4_packing": (op4_packing, None),
