@@ -25,7 +25,7 @@ named columns are read, so extra columns cannot clash.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -139,14 +139,15 @@ def digest_rows(docs: DataFrame, mean: int) -> DataFrame:
 
 
 def dedup_chunks(
-    df: DataFrame, doc_id: str, text: str, mean: int = MEAN_CHUNK, min_run: int = MIN_RUN
+    df: DataFrame, doc_id: str, text: str, keep: Sequence[str] = (), mean: int = MEAN_CHUNK, min_run: int = MIN_RUN
 ) -> DataFrame:
-    """``doc_id``, ``text`` without repeated passages, ``n_chunks``, ``n_removed`` and ``first_docs`` of every row.
+    """``doc_id``, ``text`` without repeated passages, columns ``keep``, ``n_chunks``, ``n_removed`` and ``first_docs``.
 
     ``first_docs`` lists the documents that keep what this one shares with others."""
-    docs = only(df, doc_id, text).toDF("_id", "_text")
+    kept = [f"_k{i}" for i in range(len(keep))]
+    docs = only(df, doc_id, text, *keep).toDF("_id", "_text", *kept)
     docs = docs.withColumn("_th", F.when(F.col("_id").isNull(), F.xxhash64("_text")).otherwise(F.lit(0)))
-    found = digest_rows(docs, mean)
+    found = digest_rows(docs.select("_id", "_text", "_th"), mean)
     first = (
         found.groupBy("_h1", "_h2")
         .agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
@@ -163,7 +164,8 @@ def dedup_chunks(
     schema = T.StructType(
         [
             docs.schema["_id"],
-            T.StructField(text, T.StringType()),
+            T.StructField("_new", T.StringType()),
+            *[docs.schema[k] for k in kept],
             T.StructField("n_chunks", T.LongType()),
             T.StructField("n_removed", T.LongType()),
             T.StructField("first_docs", T.ArrayType(docs.schema["_id"].dataType)),
@@ -186,13 +188,13 @@ def dedup_chunks(
                     [
                         batch.column("_id"),
                         pa.array(texts, pa.binary()).cast(pa.string()),
+                        *[batch.column(k) for k in kept],
                         pa.array(n, pa.int64()),
                         pa.array(removed, pa.int64()),
                         batch.column("first_docs"),
                     ],
-                    names=["_id", "_new", "n_chunks", "n_removed", "first_docs"],
+                    names=schema.names,
                 )
 
-    inner = T.StructType([schema[0], T.StructField("_new", T.StringType()), *schema.fields[2:]])
-    out = joined.select("_id", "_text", "_gone", "first_docs").mapInArrow(run, inner)
-    return out.toDF(doc_id, text, "n_chunks", "n_removed", "first_docs")
+    out = joined.select("_id", "_text", *kept, "_gone", "first_docs").mapInArrow(run, schema)
+    return out.toDF(doc_id, text, *keep, "n_chunks", "n_removed", "first_docs")

@@ -35,7 +35,7 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import groupby
 from math import ceil, log2
@@ -267,9 +267,15 @@ def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 def set_rows(docs: DataFrame, words: int) -> DataFrame:
-    """(_id, _n, _node): size and digest of every row's set."""
+    """(_id, _n, _node) and carried columns: size and digest of every row's set."""
+    carried = [c for c in docs.columns if c not in ("_id", "_text")]
     schema = T.StructType(
-        [docs.schema["_id"], T.StructField("_n", T.LongType()), T.StructField("_node", T.LongType())]
+        [
+            docs.schema["_id"],
+            T.StructField("_n", T.LongType()),
+            T.StructField("_node", T.LongType()),
+            *[docs.schema[c] for c in carried],
+        ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -280,9 +286,10 @@ def set_rows(docs: DataFrame, words: int) -> DataFrame:
                 n.append(len(found))
                 node.append(set_digest(found) if len(found) else None)
             columns = [batch.column("_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64())]
+            columns += [batch.column(c) for c in carried]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select("_id", "_text").mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def signature_rows(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -384,11 +391,20 @@ def search_blocks(pairs: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def jaccard_components(
-    df: DataFrame, doc_id: str, text: str, words: int = 5, num: int = 8, den: int = 10, block: int = BLOCK
+    df: DataFrame,
+    doc_id: str,
+    text: str,
+    words: int = 5,
+    num: int = 8,
+    den: int = 10,
+    keep: Sequence[str] = (),
+    block: int = BLOCK,
 ) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable by links) and ``set_id`` of every row."""
-    docs = only(df, doc_id, text).toDF("_id", "_text")
-    rows = stored(set_rows(docs, words), "jaccard-sets")
+    """``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable by links) and columns ``keep`` of every row."""
+    kept = [f"_k{i}" for i in range(len(keep))]
+    every = only(df, doc_id, text, *keep).toDF("_id", "_text", *kept)
+    rows = stored(set_rows(every, words), "jaccard-sets")
+    docs = every.select("_id", "_text")
     sigs = signature_rows(docs.where(F.col("_id").isNotNull()), words, num, den)
 
     met = sigs.groupBy("_sig").agg(F.min("_node").alias("pivot"), F.max("_node").alias("_last"))
@@ -440,5 +456,5 @@ def jaccard_components(
         F.col("_id").alias(doc_id),
         F.col("_n").alias("n_shingles"),
         component.alias("component_id"),
-        F.col("_node").alias("set_id"),
+        *[F.col(k).alias(name) for k, name in zip(kept, keep, strict=True)],
     )

@@ -22,6 +22,7 @@ cannot clash.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -46,9 +47,10 @@ def line_windows(docs: DataFrame, window: int) -> DataFrame:
     )
 
 
-def dedup_lines(df: DataFrame, doc_id: str, text: str, window: int = 3) -> DataFrame:
-    """``doc_id``, ``text`` without repeated windows, ``n_lines`` and ``n_removed`` of every row."""
-    docs = only(df, doc_id, text).toDF("_id", "_text").withColumn("_th", F.xxhash64("_text"))
+def dedup_lines(df: DataFrame, doc_id: str, text: str, keep: Sequence[str] = (), window: int = 3) -> DataFrame:
+    """``doc_id``, ``text`` without repeated windows, columns ``keep``, ``n_lines`` and ``n_removed`` of every row."""
+    kept_names = [f"_k{i}" for i in range(len(keep))]
+    docs = only(df, doc_id, text, *keep).toDF("_id", "_text", *kept_names).withColumn("_th", F.xxhash64("_text"))
     found = line_windows(docs, window)
     place = F.struct("_id", "_th", "_pos")
     first = (
@@ -71,6 +73,7 @@ def dedup_lines(df: DataFrame, doc_id: str, text: str, window: int = 3) -> DataF
     return kept.select(
         F.col("_id").alias(doc_id),
         F.when(F.col("_starts").isNull(), F.col("_text")).otherwise(rebuilt).alias(text),
+        *[F.col(k).alias(name) for k, name in zip(kept_names, keep, strict=True)],
         F.when(F.col("_text").isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
         F.when(F.col("_starts").isNull(), F.lit(0))
         .otherwise(F.size("_lines") - F.size("_kept"))

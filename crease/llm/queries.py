@@ -23,7 +23,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of three-word shingles have a Jaccard similarity of at least 0.9."""
     docs = table(spark, sf_dir, "documents")
-    return jaccard.jaccard_components(docs, "doc_id", "text", words=3, num=9, den=10).drop("set_id")
+    return jaccard.jaccard_components(docs, "doc_id", "text", words=3, num=9, den=10)
 
 
 SEQUENCE = 1024
