@@ -44,8 +44,9 @@ BRANCHES = 16  # children of a node
 LEAF_SAMPLE = 64  # sample vectors in a leaf, at most
 CALIBRATE = 200  # queries of the calibration
 TARGET = 0.97  # share of true neighbours to reach there
-GROUP_ROWS = 20_000
-GROUP_QUERIES = 20_000
+GROUP_ROWS = 5_000
+GROUP_QUERIES = 10_000
+HELD = 1_000_000  # scored pairs that a task holds before it drops all but the best
 
 
 @dataclass
@@ -187,47 +188,68 @@ def search(df: DataFrame, vec_id: str, vector: str, is_query: Column, k: int, ta
             leaf = shared.value.leaf_of(matrix(batch.column("_vec")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], names=["_id", "_vec", "_leaf"])
 
-    def into_visits(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            leaves = [shared.value.visits(q, n_visits) for q in matrix(batch.column("_vec"))]
-            column = pa.array(leaves, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=["_id", "_vec", "_leaves"])
-
     indexed = stored(rows.mapInArrow(into_leaves, "_id long, _vec array<double>, _leaf long"), "ann-leaves")
-    probes = stored(asked.mapInArrow(into_visits, "_id long, _vec array<double>, _leaves array<long>"), "ann-probes")
-
     groups = max(1, n_rows // GROUP_ROWS)
+    parts = max(1, -(-asked.count() // GROUP_QUERIES))
     sizes = indexed.groupBy("_leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP_ROWS)).cast("long").alias("_blocks"))
-    each = probes.select(F.explode("_leaves").alias("_leaf"))
-    asks = each.groupBy("_leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP_QUERIES)).cast("long").alias("_parts"))
-    plan = F.broadcast(sizes.join(asks, "_leaf"))  # a row for each leaf of the fitted tree
-    at = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
-    group = (F.col("_leaf") % groups).alias("_group")
-    left = indexed.join(plan, "_leaf").select(
-        group, at("_id", "_blocks").alias("_block"), F.explode(F.expr("sequence(0L, _parts - 1)")).alias("_part"), "_leaf", "_id", "_vec"
-    )
-    right = (
-        probes.select("_id", "_vec", F.explode("_leaves").alias("_leaf"))
-        .join(plan, "_leaf")
-        .select(group, F.explode(F.expr("sequence(0L, _blocks - 1)")).alias("_block"), at("_id", "_parts").alias("_part"), "_leaf", "_id", "_vec")
+    sizes = stored(sizes, "ann-sizes")  # a row for each leaf of the fitted tree
+    blocks = spark.sparkContext.broadcast({r["_leaf"]: r["_blocks"] for r in sizes.collect()})
+
+    def into_visits(batches: Iterator[pa.RecordBatch]):
+        """A row for each query and task that it visits, with the leaves to search there."""
+        for batch in batches:
+            row, group, block, leaves = [], [], [], []
+            for i, query in enumerate(matrix(batch.column("_vec"))):
+                tasks: dict[tuple[int, int], list[int]] = {}
+                for leaf in shared.value.visits(query, n_visits):
+                    for k in range(blocks.value.get(leaf, 0)):
+                        tasks.setdefault((leaf % groups, k), []).append(leaf)
+                for (g, k), own in tasks.items():
+                    row.append(i)
+                    group.append(g)
+                    block.append(k)
+                    leaves.append(own)
+            at = pa.array(row, pa.int64())
+            columns = [batch.column("_id").take(at), batch.column("_vec").take(at)]
+            columns += [pa.array(group, pa.int64()), pa.array(block, pa.int64()), pa.array(leaves, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_vec", "_group", "_block", "_leaves"])
+
+    visits = "_id long, _vec array<double>, _group long, _block long, _leaves array<long>"
+    part = F.pmod(F.xxhash64("_id"), F.lit(parts)).alias("_part")
+    right = asked.mapInArrow(into_visits, visits).select("_group", "_block", part, "_id", "_vec", "_leaves")
+    left = indexed.join(F.broadcast(sizes), "_leaf").select(
+        (F.col("_leaf") % groups).alias("_group"),
+        F.pmod(F.xxhash64("_id"), "_blocks").alias("_block"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("_part"),
+        "_leaf",
+        "_id",
+        "_vec",
     )
 
     def score(vectors: pa.Table, asking: pa.Table) -> pa.Table:
-        hits: list[tuple[np.ndarray, ...]] = []
         ids, leaf = np.asarray(vectors["_id"]), np.asarray(vectors["_leaf"])
-        query_ids, wanted = np.asarray(asking["_id"]), np.asarray(asking["_leaf"])
-        points, queries = matrix(vectors["_vec"]), matrix(asking["_vec"])
+        points, queries, query_ids = matrix(vectors["_vec"]), matrix(asking["_vec"]), np.asarray(asking["_id"])
+        lists = asking["_leaves"].combine_chunks() if asking.num_rows else None
+        wanted = np.asarray(lists.flatten()) if lists is not None else np.empty(0, dtype=np.int64)
+        owner = np.repeat(np.arange(len(query_ids)), np.diff(np.asarray(lists.offsets))) if lists is not None else wanted
+        held = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
+        fresh: list[tuple[np.ndarray, ...]] = []
+
+        def settle():
+            query, vec, s = (np.concatenate(c) for c in zip(held, *fresh, strict=True))
+            keep = keep_best(query, vec, s, k)
+            return query[keep], vec[keep], s[keep]
+
         for at in np.intersect1d(leaf, wanted).tolist():
-            own, who = np.flatnonzero(leaf == at), np.flatnonzero(wanted == at)
+            own, who = np.flatnonzero(leaf == at), owner[wanted == at]
             for a in range(0, len(who), CHUNK):
                 some = who[a : a + CHUNK]
                 q, p, s = best(ids[own], points[own], query_ids[some], queries[some], k)
-                hits.append((query_ids[some][q], ids[own][p], s))
-        if not hits:
-            return pa.table({f.name: pa.array([], t) for f, t in zip(HITS, (pa.int64(), pa.int64(), pa.float64()))})
-        query, vec, s = (np.concatenate(c) for c in zip(*hits, strict=True))
-        keep = keep_best(query, vec, s, k)
-        return pa.table({"_query": query[keep], "_vec_id": vec[keep], "_score": s[keep]})
+                fresh.append((query_ids[some][q], ids[own][p], s))
+                if sum(len(x[0]) for x in fresh) > HELD:
+                    held, fresh = settle(), []
+        query, vec, s = settle()
+        return pa.table({"_query": query, "_vec_id": vec, "_score": s})
 
     keys = ["_group", "_block", "_part"]
     hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, T.StructType(HITS))
