@@ -4,15 +4,17 @@
    and the first piece takes the remainder.  A piece is one small row.
 2. Pieces are dealt round robin to partitions of about ``ITEMS`` rows, each
    packed by best-fit decreasing.
-3. Dual-feasible functions give every partition a lower bound on its number of
-   sequences.  A partition at its bound is certified; others send their loosest
-   sequences to an exchange, and every partition sends its one open sequence,
-   so that rounding up once a partition isn't paid for.
-4. What was exchanged is dealt to an eighth as many partitions and packed anew,
-   until one partition is left.  Rows of a round are written before the next,
-   so nothing settled is computed twice.
-
-Partitions hold a bounded number of rows; the driver sees only row counts.
+3. Dual-feasible functions give every partition, and all rows together, a lower
+   bound on the number of sequences.  When the total meets its bound, it is
+   certified and nothing is left to do.  Otherwise partitions send their loosest
+   sequences to an exchange: eight for each sequence above the partition's own
+   bound, and as many again for its share of the total's gap.
+4. What was exchanged is dealt to fewer partitions and packed anew, until the
+   total is certified or one partition is left.  Rows of a round are written
+   before the next, so nothing settled is computed twice.
+
+Partitions hold a bounded number of rows; the driver sees only row counts, in
+all and by length.
 
 Defined cases.  Null text counts as empty: one piece with the end token.  Null
 and repeated document ids and repeated rows are packed like any others, as
@@ -39,6 +41,7 @@ from crease.llm.common import only, stored
 
 ITEMS = 200_000  # rows packed by one task
 SHRINK = 8  # partitions of a round to one of the next
+FULL = np.iinfo(np.int64).max  # rank of a full bin
 PIECE_FIELDS = [
     T.StructField("piece", T.IntegerType()),
     T.StructField("start", T.LongType()),
@@ -144,12 +147,14 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def loose_bins(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
-    """Bins to exchange: the loosest one, and eight more for each bin above the partition's bound."""
+def looseness(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
+    """Rank of each bin from the loosest, less eight for each bin above the partition's bound; full bins come last."""
     fill = np.bincount(bins, weights=lengths).astype(np.int64) if len(bins) else np.empty(0, dtype=np.int64)
     gap = len(fill) - lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-    loosest = np.argsort(fill, kind="stable")[: 1 + 8 * gap]
-    return loosest[fill[loosest] < capacity]
+    rank = np.empty(len(fill), dtype=np.int64)
+    rank[np.argsort(fill, kind="stable")] = np.arange(len(fill)) - 8 * gap
+    rank[fill == capacity] = FULL
+    return rank
 
 
 # -- on Spark
@@ -162,7 +167,7 @@ def _pack_round(items: DataFrame, partitions: int, number: int, capacity: int) -
             *items.schema.fields,
             T.StructField("sequence_id", T.LongType()),
             T.StructField("offset", T.LongType()),
-            T.StructField("_loose", T.BooleanType()),
+            T.StructField("_rank", T.LongType()),
         ]
     )
 
@@ -172,36 +177,47 @@ def _pack_round(items: DataFrame, partitions: int, number: int, capacity: int) -
             return
         lengths = rows.column("length").to_numpy().astype(np.int64)
         bins, offsets = best_fit_decreasing(lengths, capacity)
-        loose = np.isin(bins, loose_bins(lengths, bins, capacity))
+        rank = looseness(lengths, bins, capacity)[bins]
         ids = (np.int64(number) << 58) | (np.int64(TaskContext.get().partitionId()) << 32) | bins
-        columns = [*rows.columns, pa.chunked_array([ids]), pa.chunked_array([offsets]), pa.chunked_array([loose])]
+        columns = [*rows.columns, pa.chunked_array([ids]), pa.chunked_array([offsets]), pa.chunked_array([rank])]
         yield from pa.Table.from_arrays(columns, names=schema.names).to_batches(max_chunksize=20_000)
 
     return items.select(*names).repartition(partitions).mapInArrow(run, schema)
 
 
+def length_counts(rows: DataFrame, capacity: int) -> np.ndarray:
+    """How many rows have each length; at most ``capacity`` numbers."""
+    count = np.zeros(capacity + 1, dtype=np.int64)
+    for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
+        count[r["length"]] = r["n"]
+    return count
+
+
 def pack(items: DataFrame, capacity: int, items_per_task: int = ITEMS) -> DataFrame:
     """Rows of ``items`` (with a ``length`` from 1 to ``capacity``) and their ``sequence_id`` and ``offset``."""
     names = items.columns
-    pool, settled, number = stored(items, "pack-items"), [], 0
+    pool, settled, n_settled, number = stored(items, "pack-items"), [], 0, 0
+    bound = lower_bound(length_counts(pool, capacity), capacity)
     partitions = max(1, -(-pool.count() // items_per_task))
     while True:
         packed = stored(_pack_round(pool, partitions, number, capacity), "pack-round")
-        if partitions == 1:
+        gap = n_settled + packed.where("offset = 0").count() - bound
+        if partitions == 1 or gap <= 0:
             settled.append(packed)
             break
-        settled.append(packed.where("not _loose"))
-        pool, partitions, number = packed.where("_loose").select(*names), -(-partitions // SHRINK), number + 1
+        send = F.col("_rank") < 1 + 8 * -(-gap // partitions)
+        settled.append(packed.where(~send))
+        n_settled += settled[-1].where("offset = 0").count()
+        pool, number = packed.where(send).select(*names), number + 1
+        wanted = max(-(-partitions // SHRINK), -(-pool.count() // items_per_task))
+        partitions = max(1, min(partitions - 1, wanted))
     out = settled[0]
     for part in settled[1:]:
         out = out.unionByName(part)
-    return out.drop("_loose")
+    return out.drop("_rank")
 
 
 def certificate(packed: DataFrame, capacity: int) -> dict[str, int]:
-    """Sequences used and the least number that any packing needs; only counts by length meet on the driver."""
-    counts = packed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most ``capacity`` rows
-    count = np.zeros(capacity + 1, dtype=np.int64)
-    for r in counts:
-        count[r["length"]] = r["n"]
-    return {"sequences": packed.select("sequence_id").distinct().count(), "bound": lower_bound(count, capacity)}
+    """Sequences used and the least number that any packing needs."""
+    bound = lower_bound(length_counts(packed, capacity), capacity)
+    return {"sequences": packed.where("offset = 0").count(), "bound": bound}
