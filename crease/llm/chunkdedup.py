@@ -81,11 +81,13 @@ def chunks(text: bytes, mean: int = MEAN_CHUNK) -> tuple[np.ndarray, np.ndarray,
     return at, halves[:, 0], halves[:, 1].astype(np.int32)
 
 
-def keep_text(text: bytes, gone: np.ndarray, min_run: int, mean: int = MEAN_CHUNK) -> tuple[bytes, int, int]:
-    """Text without repeated runs, number of chunks, number of removed chunks."""
+def keep_text(
+    text: bytes, gone: np.ndarray, min_run: int, mean: int = MEAN_CHUNK
+) -> tuple[bytes, int, int, np.ndarray]:
+    """Text without repeated runs, number of chunks, number of removed chunks, places in ``gone`` of removed ones."""
     at, high, _ = chunks(text, mean)
     if not len(high):
-        return text, 0, 0
+        return text, 0, 0, np.empty(0, dtype=np.int64)
     first = np.zeros(len(high), dtype=bool)
     first[np.unique(high, return_index=True)[1]] = True
     repeated = ~first | np.isin(high, gone)
@@ -97,7 +99,9 @@ def keep_text(text: bytes, gone: np.ndarray, min_run: int, mean: int = MEAN_CHUN
         kept.append(text[pos:a])
         pos = b
     kept.append(text[pos:])
-    return b"".join(kept), len(high), int((ends - starts)[long].sum())
+    removed = [high[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    places = np.flatnonzero(np.isin(gone, np.concatenate(removed))) if removed else np.empty(0, dtype=np.int64)
+    return b"".join(kept), len(high), int((ends - starts)[long].sum()), places
 
 
 def digest_rows(docs: DataFrame, mean: int) -> DataFrame:
@@ -143,7 +147,7 @@ def dedup_chunks(
 ) -> DataFrame:
     """``doc_id``, ``text`` without repeated passages, columns ``keep``, ``n_chunks``, ``n_removed`` and ``first_docs``.
 
-    ``first_docs`` lists the documents that keep what this one shares with others."""
+    ``first_docs`` lists the documents that keep the passages which this one loses, null if it loses none to others."""
     kept = [f"_k{i}" for i in range(len(keep))]
     docs = only(df, doc_id, text, *keep).toDF("_id", "_text", *kept)
     docs = docs.withColumn("_th", F.when(F.col("_id").isNull(), F.xxhash64("_text")).otherwise(F.lit(0)))
@@ -157,8 +161,8 @@ def dedup_chunks(
     later = found.join(first, ["_h1", "_h2"]).where(~F.col("_id").eqNullSafe(F.col("_first")))
     gone = (
         later.groupBy("_id", "_th")
-        .agg(F.collect_set("_h1").alias("_gone"), F.sort_array(F.collect_set("_first")).alias("first_docs"))
-        .withColumnsRenamed({"_id": "_gid", "_th": "_gth"})
+        .agg(F.array_sort(F.collect_set(F.struct("_h1", "_first"))).alias("_pairs"))
+        .select(F.col("_id").alias("_gid"), F.col("_th").alias("_gth"), F.col("_pairs._h1").alias("_gone"), F.col("_pairs._first").alias("_firsts"))
     )
     joined = docs.join(gone, F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_th") == F.col("_gth")), "left")
     schema = T.StructType(
@@ -176,14 +180,14 @@ def dedup_chunks(
         for big in batches:
             for at in range(0, big.num_rows, 1000):
                 batch = big.slice(at, 1000)
-                made = []
-                for t, g in zip(batch.column("_text"), batch.column("_gone"), strict=True):
-                    if not t.is_valid:
-                        made.append((None, 0, 0))
-                        continue
+                texts, n, removed, first = [], [], [], []
+                for t, g, f in zip(*(batch.column(c) for c in ("_text", "_gone", "_firsts")), strict=True):
                     gone = g.values.to_numpy() if g.is_valid else np.empty(0, dtype=np.int64)
-                    made.append(keep_text(t.as_buffer().to_pybytes(), gone, min_run, mean))
-                texts, n, removed = (list(c) for c in zip(*made, strict=True)) if made else ([], [], [])
+                    made = keep_text(t.as_buffer().to_pybytes(), gone, min_run, mean) if t.is_valid else (None, 0, 0, ())
+                    texts.append(made[0])
+                    n.append(made[1])
+                    removed.append(made[2])
+                    first.append(sorted(set(f.values.take(pa.array(made[3])).to_pylist())) if len(made[3]) else None)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("_id"),
@@ -191,10 +195,10 @@ def dedup_chunks(
                         *[batch.column(k) for k in kept],
                         pa.array(n, pa.int64()),
                         pa.array(removed, pa.int64()),
-                        batch.column("first_docs"),
+                        pa.array(first, pa.list_(batch.column("_firsts").type.value_type)),
                     ],
                     names=schema.names,
                 )
 
-    out = joined.select("_id", "_text", *kept, "_gone", "first_docs").mapInArrow(run, schema)
+    out = joined.select("_id", "_text", *kept, "_gone", "_firsts").mapInArrow(run, schema)
     return out.toDF(doc_id, text, *keep, "n_chunks", "n_removed", "first_docs")
