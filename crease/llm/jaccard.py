@@ -25,8 +25,8 @@ Equal sets are one node throughout (64-bit digest of the set), however many
 documents have it; shared passages make long lists, which are only probed.
 
 Defined cases.  Null texts and texts without words have the empty set, size 0,
-and link with nothing; fewer words than ``words`` are one shingle.  Rows with a
-null id get no component.  Rows of one id are one document where components
+and link with nothing; fewer words than ``words`` are one shingle.  A row with
+a null id gets the component of an equal set, else none.  Rows of one id are one document where components
 are named.  Repeated rows and ties need nothing special.  Empty table: no rows.
 Only the named columns are read, so extra columns cannot clash.
 """
@@ -405,7 +405,7 @@ def jaccard_components(
     every = only(df, doc_id, text, *keep).toDF("_id", "_text", *kept)
     rows = stored(set_rows(every, words), "jaccard-sets")
     docs = every.select("_id", "_text")
-    sigs = signature_rows(docs.where(F.col("_id").isNotNull()), words, num, den)
+    sigs = signature_rows(docs.where("_id is not null"), words, num, den)
 
     met = sigs.groupBy("_sig").agg(F.min("_node").alias("pivot"), F.max("_node").alias("_last"))
     met = met.where("pivot <> _last").drop("_last")
@@ -451,7 +451,7 @@ def jaccard_components(
     smallest = named.groupBy("_group").agg(F.min("_least").alias("_component"))
     by_node = named.join(smallest, "_group").select("_node", "_component")
     out = rows.join(by_node, "_node", "left")
-    component = F.when(F.col("_id").isNotNull(), F.coalesce("_component", "_id"))
+    component = F.coalesce("_component", "_id")
     return out.select(
         F.col("_id").alias(doc_id),
         F.col("_n").alias("n_shingles"),
