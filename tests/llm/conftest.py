@@ -15,7 +15,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 def prose(seed: int, n: int) -> str:
     rnd = random.Random(seed)
     vocabulary = ["the", "of", "river", "stone", "Walks", "green", "über", "était", "niño", "light,", "house.", "cold"]
-    return " ".join(rnd.choice(vocabulary) + rnd.choice(["", "", "s", str(rnd.randint(0, 99))]) for _ in range(n))
+    return " ".join(rnd.choice(vocabulary) + rnd.choice(["", "s", str(rnd.randint(0, 99)), str(rnd.randint(0, 9999))]) for _ in range(n))
 
 
 @pytest.fixture(scope="session")
