@@ -126,8 +126,8 @@ def build_dim_match(headers: DataFrame, aliases: dict[str, str] = TEAM_RENAMES,
         tournament(strip("event_name"), gender).alias("tournament"),
         gender.alias("gender"),
         surrogate_key("venue").alias("venue_id"),
-        surrogate_key(canonical_team(F.element_at(teams, 1), aliases)).alias("team1_id"),
-        surrogate_key(canonical_team(F.element_at(teams, 2), aliases)).alias("team2_id"),
+        surrogate_key(canonical_team(F.get(teams, F.lit(0)), aliases)).alias("team1_id"),
+        surrogate_key(canonical_team(F.get(teams, F.lit(1)), aliases)).alias("team2_id"),
         team_id(F.col("toss_winner")).alias("toss_winner_team_id"),
         blank_to_null("toss_decision").alias("toss_decision"),
         team_id(F.col("winner")).alias("winner_team_id"),

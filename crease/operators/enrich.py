@@ -19,7 +19,6 @@ import datetime as _dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from crease.functions.numeric import round_half_up
 from crease.functions.text import first_integer, venue_key
@@ -124,9 +123,12 @@ def enrich_players(dim_player: DataFrame, register: DataFrame, order: str = "fil
 
 
 def read_register(spark: SparkSession, path: str) -> DataFrame:
-    """The people register CSV (header row, all text) with its file order."""
-    schema = "identifier string, name string, unique_name string, key_cricinfo string"
-    df = spark.read.option("header", True).schema(schema).csv(path)
+    """The people register CSV (header row, all text) with its file order.
+
+    Columns are found by their name in the header, wherever they stand; other columns
+    are ignored, and a missing one raises.  Without a schema every column is text."""
+    df = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(path)
+    df = df.select("identifier", "name", "unique_name", "key_cricinfo", "_metadata")
     # file order = (file path, position in the file): splits of one file keep
     # their offset order, so the generated id increases along each file
     return df.withColumn("file_order", F.struct(F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("i")))
@@ -228,21 +230,27 @@ def title_number(html: Column) -> Column:
     return first_integer(html_title(html))
 
 
-def infobox_values(pages: DataFrame, html_col: str = "html", header_word: str = "capacity", out_col: str = "capacity") -> DataFrame:
-    """First integer of the infobox row whose header mentions ``header_word``.
+def markup_text(html: Column) -> Column:
+    """Visible text of a piece of markup: tags become blanks, blanks are merged."""
+    return F.trim(F.regexp_replace(F.regexp_replace(html, r"(?s)<[^>]*>", " "), r"\s+", " "))
 
-    Nested markup needs a real HTML parser, so this one step is a vectorised
-    ``mapInPandas`` over Arrow batches calling the standard-library parser per
-    page; the pages stay distributed (one task per partition, no driver trip).
-    """
-    out_schema = T.StructType(pages.schema.fields + [T.StructField(out_col, T.IntegerType())])
 
-    def run(batches):
-        from crease.functions.html import infobox_number
+INFOBOX = r"""(?is)<table\b[^>]*\bclass\s*=\s*(?:"(?:[^"]*\s)?infobox(?:\s[^"]*)?"|'(?:[^']*\s)?infobox(?:\s[^']*)?'|infobox(?=[\s>]))[^>]*>(.*?)</table>"""
+
 
-        for pdf in batches:
-            pdf[out_col] = [infobox_number(h, header_word) for h in pdf[html_col]]
-            pdf[out_col] = pdf[out_col].astype("Int32")
-            yield pdf
+def infobox_number(html: Column, header_word: str = "capacity") -> Column:
+    """First integer of the first infobox row whose header mentions ``header_word`` and whose value has one.
 
-    return pages.mapInPandas(run, out_schema)
+    Expressions alone: the first table of class infobox, cut before each row; a row's
+    header and value are its first th and td, which end where the next cell or row begins."""
+    box = F.regexp_extract(html, INFOBOX, 1)
+    rows = F.slice(F.split(box, r"(?i)<tr\b[^>]*>"), 2, 1 << 20)
+    cell = lambda row, tag: F.regexp_extract(row, rf"(?is)<{tag}\b[^>]*>(.*?)(?:</{tag}|<t[dhr]\b|$)", 1)
+    fitting = F.filter(rows, lambda r: F.contains(F.lower(markup_text(cell(r, "th"))), F.lit(header_word.lower())))
+    numbers = F.transform(fitting, lambda r: first_integer(markup_text(cell(r, "td"))))
+    return F.get(F.filter(numbers, lambda n: n.isNotNull()), F.lit(0))
+
+
+def infobox_values(pages: DataFrame, html_col: str = "html", header_word: str = "capacity", out_col: str = "capacity") -> DataFrame:
+    """P18 as a column of a page table."""
+    return pages.withColumn(out_col, infobox_number(F.col(html_col), header_word).cast("int"))

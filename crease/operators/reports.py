@@ -230,7 +230,7 @@ def json_document(head: dict, sections: list[tuple[str, DataFrame, tuple]], sing
             a.cast("bigint").alias("a"), b.cast("bigint").alias("b"),
             F.coalesce(s1.cast("string"), blank).alias("s1"), F.coalesce(s2.cast("string"), blank).alias("s2"),
         )
-        part = df.select(F.lit(name).alias("section"), key.alias("k"), F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("j"))
+        part = df.select(F.lit(name).alias("section"), key.alias("k"), F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"}).alias("j"))
         items = part if items is None else items.unionByName(part)
 
     def arr(name: str) -> Column:
@@ -260,7 +260,7 @@ def h2h_document(
             ("overall", overall, (zero, zero, blank, blank)),
             ("per_season", per_season, (F.col("season_year"), zero, blank, blank)),
             ("by_venue", by_venue, (-F.col("matches"), zero, F.col("venue_name"), blank)),
-            ("recent", recent, (-F.unix_date("match_date"), -F.col("match_id"), blank, blank)),
+            ("recent", recent, (-F.unix_date("match_date"), zero, F.col("match_id").cast("string"), blank)),
             ("top_batters", top_batters, (-F.col("runs"), zero, F.col("batter_name"), F.col("batting_team"))),
             ("top_bowlers", top_bowlers, (-F.col("wickets"), zero, F.col("bowler_name"), F.col("bowling_team"))),
         ],
@@ -461,13 +461,12 @@ def top_wicket_takers(fact_ball: DataFrame, limit: int = 5) -> DataFrame:
     )
 
 
-def season_summary(dim_season: DataFrame, limit: int = 25) -> DataFrame:
-    """Seasons in (year, gender) order."""
-    return (
-        dim_season.select("season_year", "gender", "season_label", "total_matches", "start_date", "end_date")
-        .orderBy("season_year", "gender")
-        .limit(limit)
+def season_summary(dim_season: DataFrame, limit: int | None = None) -> DataFrame:
+    """Seasons in (year, gender) order; all, or the first ``limit``."""
+    out = dim_season.select("season_year", "gender", "season_label", "total_matches", "start_date", "end_date").orderBy(
+        "season_year", "gender"
     )
+    return out if limit is None else out.limit(limit)
 
 
 def most_wins(dim_match: DataFrame, dim_team: DataFrame, tournament: str = "IPL") -> DataFrame:

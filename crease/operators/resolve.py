@@ -90,12 +90,15 @@ def resolve_players(names: DataFrame, dim_player: DataFrame, inputs: list[str])
     return out.select("pos", "input_name", "player_id", "player_name", rule.alias("match_rule"))
 
 
-def resolve_teams(names: DataFrame, dim_team: DataFrame, inputs: list[str], aliases: dict[str, str] = TEAM_ALIASES) -> DataFrame:
+def resolve_teams(
+    names: DataFrame, dim_team: DataFrame, inputs: list[str], aliases: dict[str, str] = TEAM_ALIASES,
+    max_candidates: int | None = None,
+) -> DataFrame:
     """Q9: alias (case-insensitive) -> exact name -> unique case-insensitive substring.
 
     Returns (pos, input_name, team_name, candidates, status) with status one of
-    alias / exact / substring / ambiguous / none.  ``candidates`` lists up to
-    five substring hits (sorted) for ambiguous inputs.
+    alias / exact / substring / ambiguous / none.  ``candidates`` lists the
+    substring hits (sorted) for ambiguous inputs: all, or the first ``max_candidates``.
     """
     alias_map = F.create_map(*[x for k, v in aliases.items() for x in (F.lit(k), F.lit(v))]) if aliases else None
     alias_hit = F.element_at(alias_map, F.upper(F.col("input_name"))) if alias_map is not None else F.lit(None)
@@ -103,11 +106,11 @@ def resolve_teams(names: DataFrame, dim_team: DataFrame, inputs: list[str], alia
         "input_name", F.col("input_name").alias("exact_name")
     )
     hits = dim_team.select("team_name", F.explode(_contains_any(F.col("team_name"), inputs)).alias("input_name"))
+    cands = F.array_sort(F.collect_set("team_name"))  # names of teams: a small dimension
     sub = hits.groupBy("input_name").agg(
         F.count(F.lit(1)).alias("n_hits"),
         F.min("team_name").alias("only_hit"),
-        # candidate list of a team table: the team dimension is small by nature
-        F.slice(F.array_sort(F.collect_set("team_name")), 1, 5).alias("cands"),
+        (cands if max_candidates is None else F.slice(cands, 1, max_candidates)).alias("cands"),
     )
     out = names.withColumn("alias_name", alias_hit).join(exact, "input_name", "left").join(sub, "input_name", "left")
     status = (

@@ -69,9 +69,13 @@ def q_register_match(spark, sf):
 
 @register("register_csv", REGISTER_SQL)
 def q_register_csv(spark, sf):
-    """The register written as CSV files (sorted, so file order = register order) and read back."""
+    """The register written as CSV files (sorted, so file order = register order) and read back.
+
+    The files hold more columns than are read, in another order."""
     root = scratch_path(spark, "register-csv")
-    rows = _register_rows(spark, sf).orderBy("file_order").drop("file_order")
+    rows = _register_rows(spark, sf).orderBy("file_order").select(
+        "identifier", "name", "unique_name", F.lit("bcci").alias("key_bcci"), "key_cricinfo", F.lit(7).alias("key_other")
+    )
     rows.write.option("header", True).csv(root)
     reg = enrich.read_register(spark, root)
     return enrich.enrich_players(_nation_players(spark, sf), reg).select("player_id", "player_name", "full_name", "cricinfo_id")
@@ -223,11 +227,35 @@ def q_html_attribute(spark, sf):
     return p.select("page_id", enrich.html_title(F.col("html")).alias("title"), enrich.title_number(F.col("html")).alias("title_number"))
 
 
-@register("html_infobox", None)
+# every page, five of six with an infobox rendered from its id: a plain one, one with nested markup and a thousands
+# comma, one whose first matching row has no number, one without the row, and a table of another class
+INFOBOX_SQL = """SELECT page_id, CASE page_id % 6
+  WHEN 0 THEN 1000 + page_id WHEN 1 THEN 12000 + page_id % 1000 WHEN 2 THEN page_id END AS capacity FROM pages"""
+
+
+def _with_infobox(pages):
+    n = F.col("page_id")
+    comma = F.format_number(12000 + n % 1000, 0)
+    open_box, close = "<table class='infobox vcard'><tr><th colspan=2>Ground</th></tr>", "</table>"
+    row = lambda head, *value: F.concat(F.lit(f"<tr><th scope='row'>{head}</th><td>"), *value, F.lit("</td></tr>"))
+    box = (
+        F.when(n % 6 == 0, F.concat(F.lit(open_box), row("Capacity", (1000 + n).cast("string")), F.lit(close)))
+        .when(n % 6 == 1, F.concat(
+            F.lit('<TABLE id="t" class="wide infobox"><tbody><TR><td>no header</td></TR>'),
+            row("Seating <b>CAPACITY</b>", F.lit("<i>about</i> "), comma, F.lit(" (1999)")), F.lit("</tbody></TABLE>")))
+        .when(n % 6 == 2, F.concat(F.lit(open_box), row("Capacity", F.lit("unknown")), row("Capacity now", n.cast("string")), F.lit(close)))
+        .when(n % 6 == 3, F.concat(F.lit(open_box), row("Opened", F.lit("1890")), F.lit(close)))
+        .when(n % 6 == 4, F.concat(F.lit("<table class='infoboxes'>"), row("Capacity", F.lit("5")), F.lit(close)))
+        .otherwise(F.lit(""))
+    )
+    return pages.select("page_id", F.concat(F.coalesce("html", F.lit("")), box).alias("html"))
+
+
+@register("html_infobox", INFOBOX_SQL)
 def q_html_infobox(spark, sf):
-    """P18 over every page (no SQL oracle: needs an HTML parser; tested in pytest)."""
-    p = td.table(spark, sf, "pages").select("page_id", "html")
-    return enrich.infobox_values(p).select("page_id", "capacity")
+    """P18 over every page, with an infobox appended to most."""
+    pages = _with_infobox(td.table(spark, sf, "pages"))
+    return pages.select("page_id", enrich.infobox_number(F.col("html")).cast("bigint").alias("capacity"))
 
 
 # ---------------------------------------------------------------- A13 over every enriched table
@@ -253,7 +281,7 @@ def q_enrichment_validation(spark, sf):
     """Populated counts of every enriched column, per table (warn on zero)."""
     from crease.operators import derived, quality
 
-    fact = derived.with_chase_columns(derived.with_running_columns(td.a2_ball_log(spark, sf), repartition=False))
+    fact = derived.derived_columns(td.a2_ball_log(spark, sf))
     players = q_register_match(spark, sf)
     venues, _ = _enriched(spark, sf)
     out = None

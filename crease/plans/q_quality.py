@@ -73,9 +73,8 @@ def _orphans_sql(players: str) -> str:
 
 def _orphans(spark, sf, players):
     s = fx.a1_star(spark, sf)
-    per_player = quality.orphans(s.fact_ball, PLAYER_FKS, players, "player_id")
-    per_match = quality.orphans(s.fact_ball, ["match_id"], s.dim_match, "match_id")
-    return per_player.unionByName(per_match)
+    refs = {c: (players, "player_id") for c in PLAYER_FKS} | {"match_id": (s.dim_match, "match_id")}
+    return quality.fk_counts(s.fact_ball, refs).select("fk_column", "orphan_rows")
 
 
 @register("quality_orphans", a1(_orphans_sql("fplayer")))
@@ -83,6 +82,21 @@ def q_quality_orphans(spark, sf):
     return _orphans(spark, sf, _filtered_players(spark, sf))
 
 
+@register(
+    "missing_ids",
+    a1(
+        "\nUNION ALL ".join(
+            f"SELECT '{c}' AS fk_column, COUNT(DISTINCT {c}) AS missing_ids, CAST(MIN(CAST({c} AS VARCHAR)) AS VARCHAR) AS sample_id "
+            f"FROM a1_f WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT player_id FROM fplayer) HAVING COUNT(*) > 0"
+            for c in PLAYER_FKS
+        )
+    ),
+)
+def q_missing_ids(spark, sf):
+    """Which ids have no dimension row, with a sample."""
+    return quality.orphan_ids(fx.a1_star(spark, sf).fact_ball, PLAYER_FKS, _filtered_players(spark, sf), "player_id")
+
+
 PHASE_SHARE_SQL = """SELECT r.match_phase, COALESCE(c.n, 0) AS n, t.total,
   CAST(COALESCE(c.n, 0) AS DOUBLE) / CAST(t.total AS DOUBLE) AS share, r.min_share, r.max_share,
   (CAST(COALESCE(c.n, 0) AS DOUBLE) / CAST(t.total AS DOUBLE) >= r.min_share
@@ -130,11 +144,26 @@ def q_quality_report(spark, sf):
 def _constraint_sql() -> str:
     rules = quality.fact_ball_rule_sql()
     parts = [f"SELECT 'fact_ball' AS table_name, '{n}' AS constraint_name, {cnt(cond)} AS violations FROM fact_ball" for n, cond in rules]
-    parts += [
-        f"SELECT 'dim_player', 'not_null_player_name', {cnt('player_name IS NULL')} FROM fplayer",
-        "SELECT 'dim_player', 'check_gender', " + cnt("COALESCE(gender NOT IN ('male', 'female'), TRUE)") + " FROM fplayer",
-    ]
-    parts += [f"SELECT 'dim_match', 'not_null_{c}', {cnt(c + ' IS NULL')} FROM dim_match" for c in ("season_year", "venue_id", "team1_id", "team2_id")]
+    columns = {
+        "dim_player": "player_id player_name gender", "dim_team": "team_id team_name", "dim_venue": "venue_id venue_name",
+        "dim_season": "season_year season_label gender total_matches",
+        "dim_match": "match_id season_year tournament gender venue_id team1_id team2_id",
+    }
+    keys = {"dim_player": "player_id", "dim_team": "team_id", "dim_venue": "venue_id", "dim_season": "season_year, gender", "dim_match": "match_id"}
+    for t, names in columns.items():
+        src = "fplayer" if t == "dim_player" else t
+        parts += [f"SELECT '{t}', 'not_null_{c}', COUNT(*) - COUNT({c}) FROM {src}" for c in names.split()]
+        parts.append(f"SELECT '{t}', 'primary_key', (SELECT COUNT(*) FROM {src}) - (SELECT COUNT(*) FROM (SELECT DISTINCT {keys[t]} FROM {src}))")
+    for t, src in (("dim_player", "fplayer"), ("dim_season", "dim_season")):
+        parts.append(f"SELECT '{t}', 'check_gender', COUNT(*) - COUNT(*) FILTER (WHERE gender = 'male' OR gender = 'female') FROM {src}")
+    for c, src, key in (
+        ("venue_id", "dim_venue", "venue_id"), ("team1_id", "dim_team", "team_id"), ("team2_id", "dim_team", "team_id"),
+        ("toss_winner_team_id", "dim_team", "team_id"), ("winner_team_id", "dim_team", "team_id"), ("player_of_match_id", "fplayer", "player_id"),
+    ):
+        parts.append(
+            f"SELECT 'dim_match', 'fk_{c}', COUNT(*) FROM dim_match m WHERE m.{c} IS NOT NULL "
+            f"AND NOT EXISTS (SELECT 1 FROM {src} d WHERE CAST(d.{key} AS VARCHAR) = CAST(m.{c} AS VARCHAR))"
+        )
     parts.append(
         "SELECT 'fact_ball', 'primary_key', CAST(COALESCE(SUM(c - 1), 0) AS BIGINT) FROM ("
         "SELECT COUNT(*) AS c FROM a1_f GROUP BY match_id, innings_number, delivery_sequence HAVING COUNT(*) > 1)"

@@ -6,7 +6,8 @@ string, unknown keys under registry and extras), so:
 * ``innings``, ``overs`` and ``deliveries`` are read as ARRAY<STRING> and every
   element is parsed on its own, because one wrong-typed element would null a
   whole ARRAY<STRUCT> while the reference keeps going;
-* runs are DOUBLE (``4.0`` must still count as 4) and cast to INT afterwards;
+* wickets and fielders are ARRAY<STRING> for the same reason;
+* runs are read as text and cast afterwards (``4.0`` and ``"4"`` count as 4);
 * ``non_boundary`` is BOOLEAN, so only a JSON ``true`` vetoes a boundary.
 """
 
@@ -28,11 +29,15 @@ OVER_SCHEMA = "over string, deliveries array<string>"
 
 DELIVERY_SCHEMA = (
     "batter string, bowler string, non_striker string, "
-    "runs struct<batter: double, extras: double, total: double>, "
-    "extras map<string, string>, non_boundary boolean, "
-    "wickets array<struct<kind: string, player_out: string, fielders: array<struct<name: string>>>>"
+    "runs struct<batter: string, extras: string, total: string>, "
+    "extras map<string, string>, non_boundary boolean, wickets array<string>"
 )
 
+WICKET_SCHEMA = "kind string, player_out string, fielders array<string>"
+
+FIELDER_SCHEMA = "name string"
+
+# --- fixed values (must equal the reference's) ---
 # Column order of the star tables (DDL order of the reference's schema).
 DIM_PLAYER_COLUMNS = ["player_id", "player_name", "name_variants", "gender"]
 DIM_TEAM_COLUMNS = ["team_id", "team_name", "team_name_variants"]
@@ -50,3 +55,4 @@ FACT_BALL_COLUMNS = [
     "is_legal_delivery", "is_dot_ball", "is_boundary_four", "is_boundary_six", "is_wicket",
     "is_bowler_wicket", "wicket_kind", "player_out_name", "player_out_id", "fielder_name", "fielder_id",
 ]
+# --- end fixed values ---

@@ -55,16 +55,24 @@ def apply_semantics(spark: SparkSession) -> None:
 _LOCAL_ROOT: str | None = None
 
 
+def is_single_machine(master: str) -> bool:
+    """Driver and tasks share one process (local, local[4], ...; not local-cluster)."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for cut lineage and written intermediate tables.
 
-    Uses ``spark.checkpoint.dir`` when the session names one; otherwise (local
-    runs and tests only) a scratch folder is created once per process.  The
+    Uses ``spark.checkpoint.dir`` when the session names one; otherwise a
+    scratch folder is created once per process, on a local master alone: on a
+    cluster every executor would write to its own disk, so that raises.  The
     setting itself is not modified (it is a core setting, fixed at start-up).
     """
     global _LOCAL_ROOT
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not is_single_machine(spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if _LOCAL_ROOT is None:
             _LOCAL_ROOT = tempfile.mkdtemp(prefix="crease-ckpt-")
         root = _LOCAL_ROOT

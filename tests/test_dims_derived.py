@@ -92,7 +92,7 @@ def _balls(spark, rows):
 def test_partnership_breaks_on_bowler_wickets_only(spark):
     # ball 2 is a run out (not bowler-credited), ball 4 bowled: segment changes at ball 5 only
     rows = [("m", 1, i, 1, i, "A", 1, 1, i == 4) for i in range(1, 7)]
-    out = derived.with_running_columns(_balls(spark, rows)).orderBy("delivery_sequence").collect()
+    out = derived.derived_columns(_balls(spark, rows)).orderBy("delivery_sequence").collect()
     assert [r.partnership_id for r in out] == [0, 0, 0, 0, 1, 1]
     assert [r.partnership_runs_so_far for r in out] == [1, 2, 3, 4, 1, 2]
     assert [r.cumulative_wickets_in_innings for r in out] == [0, 0, 0, 1, 1, 1]
@@ -115,26 +115,41 @@ def test_chase_edges_and_decimal_overflow(spark):
     assert inn1[2].cumulative_runs_in_innings == 20 and inn1[2].required_run_rate is None
 
 
-def test_chunked_windows_equal_the_single_shuffle_plan(spark):
+DERIVED = ["match_id", "innings_number", "delivery_sequence", "cumulative_runs_in_innings", "cumulative_wickets_in_innings",
+           "batter_innings_runs_so_far", "partnership_id", "partnership_runs_so_far"]
+
+
+def _whole_innings(fact):
+    """The running columns by plain windows over whole innings."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    order = ("over_number", "ball_in_over", "delivery_sequence")
+    over = lambda *keys: Window.partitionBy("match_id", "innings_number", *keys).orderBy(*order)
+    so_far = lambda *keys: over(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    wicket = F.col("is_bowler_wicket").cast("int")
+    f = fact.withColumn("partnership_id", F.coalesce(F.sum(wicket).over(over().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+    f = f.withColumn("cumulative_runs_in_innings", F.sum("total_runs").over(so_far()).cast("int"))
+    f = f.withColumn("cumulative_wickets_in_innings", F.sum(wicket).over(so_far()).cast("int"))
+    f = f.withColumn("batter_innings_runs_so_far", F.sum("batter_runs").over(so_far("batter_name")).cast("int"))
+    return f.withColumn("partnership_runs_so_far", F.sum("total_runs").over(so_far("partnership_id")).cast("int")).select(*DERIVED)
+
+
+def test_chunks_of_any_length_give_the_same(spark):
     from crease.sources import testdata as td
 
     ball = td.a2_ball_log(spark, "/root/testdata/sf0.01")
-    cols = ["match_id", "innings_number", "delivery_sequence", "cumulative_runs_in_innings", "cumulative_wickets_in_innings",
-            "batter_innings_runs_so_far", "partnership_id", "partnership_runs_so_far", "required_run_rate", "pressure_index"]
-    want = derived.derived_columns(ball).select(*cols)
+    want = _whole_innings(ball)
     for k in (1, 3, 1000):
-        got = derived.derived_columns_chunked(ball, overs_per_chunk=k).select(*cols)
+        got = derived.derived_columns(ball, overs_per_chunk=k).select(*DERIVED)
         assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0, k
 
 
-def test_auto_plan_switches_to_chunks_for_a_hot_innings(spark):
-    # one innings of 600 balls (100 overs) against a bound of 100 rows: chunked plan
+def test_an_innings_of_many_overs(spark):
     rows = [("hot", 1, i, (i - 1) // 6 + 1, (i - 1) % 6 + 1, "A" if i % 3 else "B", i % 4, i % 4, i % 50 == 0) for i in range(1, 601)]
     rows += [("hot", 2, i, (i - 1) // 6 + 1, (i - 1) % 6 + 1, "C", 1, 1, False) for i in range(1, 13)]
     fact = _balls(spark, rows)
-    cols = ["match_id", "innings_number", "delivery_sequence", "cumulative_runs_in_innings", "batter_innings_runs_so_far",
-            "partnership_id", "partnership_runs_so_far", "required_run_rate"]
-    want = derived.derived_columns(fact).select(*cols)
-    got = derived.derived_columns_auto(fact, max_innings_rows=100).select(*cols)
+    got, want = derived.derived_columns(fact), _whole_innings(fact)
     assert "chunk" not in got.columns
+    got = got.select(*DERIVED)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

@@ -6,7 +6,6 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from crease.functions.html import infobox_number
 from crease.operators import enrich, resolve
 
 
@@ -93,11 +92,30 @@ def test_schema_evolution_is_idempotent(spark):
     assert enrich.choose_column(once, ["innings", "name"]) == "name"
 
 
-def test_infobox_capacity():
-    html = '<table class="infobox vcard"><tr><th>Location</th><td>Mumbai</td></tr><tr><th>Capacity</th><td>33,108 (approx)</td></tr></table>'
-    assert infobox_number(html) == 33108
-    assert infobox_number("<html><p>Capacity 5</p></html>") is None
-    assert infobox_number('<table class="infobox"><tr><th>Capacity</th><td>unknown</td></tr></table>') is None
+def test_infobox_capacity(spark):
+    box = '<table class="infobox vcard">{}</table>'
+    cases = [
+        (box.format("<tr><th>Location</th><td>Mumbai</td></tr><tr><th>Capacity</th><td>33,108 (approx)</td></tr>"), 33108),
+        ("<html><p>Capacity 5</p></html>", None),
+        (box.format("<tr><th>Capacity</th><td>unknown</td></tr>"), None),
+        (box.format("<tr><th>Capacity</th><td>unknown</td></tr><tr><th>New capacity</th><td>7</td></tr>"), 7),
+        (box.format("<tr><th>Seating <b>CAPACITY</b><td><i>about</i> 1,234<tr><th>x<td>9"), 1234),
+        ("<table class='wide infobox'><TR><TH>capacity</TH><TD>8</TD></TR></table>", 8),
+        ("<table class=infobox><tr><th>capacity</th><td>6</td></tr></table>", 6),
+        ("<table class='infoboxes'><tr><th>capacity</th><td>8</td></tr></table>", None),
+        (box.format("<tr><td>5</td></tr><tr><th>Opened</th><td>1890</td></tr>"), None),
+        (None, None), ("", None),
+    ]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, html string")
+    found = {r.i: r.n for r in df.select("i", enrich.infobox_number(df.html).alias("n")).collect()}
+    assert [found[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
+def test_register_is_read_by_column_name(spark, tmp_path):
+    (tmp_path / "people.csv").write_text(
+        "identifier,name,unique_name,key_bcci,key_bigbash,key_cricinfo\n1,A Name,A Uname,b1,g1,c1\n2,B Name,B Uname,b2,,c2\n")
+    rows = enrich.read_register(spark, str(tmp_path / "people.csv")).orderBy("identifier").collect()
+    assert [(r.identifier, r.name, r.unique_name, r.key_cricinfo) for r in rows] == [("1", "A Name", "A Uname", "c1"), ("2", "B Name", "B Uname", "c2")]
 
 
 def test_infobox_values_runs_distributed(spark):
