@@ -9,7 +9,10 @@ segments are shuffled.  Sizes form bands; a set near the upper end of its band
 takes part in the next band too.  Empty segments say nothing and are left out
 where k leaves enough full ones; a set with too many empty ones sends them all.
 The smallest set of a digest is its pivot, and a pivot with all sets that meet
-it is one group.
+it is one group.  Two things keep this small.  Digests are counted first, and a
+Bloom filter of fixed size tells later which ones are worth a row.  And a set
+leaves a group in which no other is near it by size and by a 128-byte parity
+sketch, which never exceeds the true difference.
 
 Searching.  In a group, DivideSkip answers "who reaches T with this set": the
 longest inverted lists are put aside, the short ones are merged with a heap,
@@ -49,10 +52,15 @@ from pyspark.sql import types as T
 from crease.llm.common import only, stored
 from crease.llm.graph import components
 
-BAND = 1.6  # largest over smallest size in a band
+BAND = 1.25  # largest over smallest size in a band
+ROOM = 3  # standard deviations of the number of empty segments that segments leave room for
 BLOCK = 1_000_000  # shingles searched by one task
 BROADCAST_ROWS = 1_000_000  # node list that may be broadcast (8 MB); a longer one is shuffled
 ROWS_OUT = 100_000
+SKETCH_BITS = 1024
+FILTER_BITS = 26  # a Bloom filter of 2**26 bits (8 MB) whatever the input
+SLICES = 128  # parts in which it is put together
+PRUNED = 20_000  # members of a group that sketches are compared for; a larger group is searched whole
 LIST_COST = 0.0085  # DivideSkip's weight of a lookup in a long list
 
 BLANK = np.zeros(256, dtype=bool)
@@ -134,6 +142,27 @@ def set_digest(found: np.ndarray) -> int:
     return int(mix(mixed[:1] ^ (mixed[1:] << U64(1))).view(np.int64)[0])
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each of 1024 cells.  Two sets differ in at least as many shingles as
+    their sketches differ in bits."""
+    cells = np.bincount((mix(found + U64(7)) >> U64(54)).astype(np.int64), minlength=SKETCH_BITS)
+    return np.packbits((cells & 1).astype(np.uint8)).tobytes()
+
+
+def has_partner(sizes: np.ndarray, sketches: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which sets may link with another one, judged by sizes and sketches (rows of 64-bit numbers)."""
+    n = len(sizes)
+    out = np.zeros(n, dtype=bool)
+    step = max(1, 2_000_000 // (n * sketches.shape[1]))
+    for at in range(0, n, step):
+        rows = slice(at, at + step)
+        differ = np.bitwise_count(sketches[rows, None, :] ^ sketches[None]).sum(axis=2, dtype=np.int64)
+        near = differ * (den + num) <= (den - num) * (sizes[rows, None] + sizes[None])
+        near &= np.minimum(sizes[rows, None], sizes[None]) * den >= np.maximum(sizes[rows, None], sizes[None]) * num
+        out[rows] = near.sum(axis=1) > 1
+    return out
+
+
 # -- segments
 
 
@@ -141,7 +170,7 @@ class Bands:
     """Size bands and their numbers of segments for a similarity of at least num / den."""
 
     def __init__(self, num: int, den: int):
-        self.num, self.den, self.tops = num, den, [1]
+        self.num, self.den, self.tops, self.counts = num, den, [1], {}
 
     def band(self, n: int) -> int:
         while self.tops[-1] < n:
@@ -153,14 +182,16 @@ class Bands:
         return (self.den - self.num) * 2 * self.tops[b] // (self.den + self.num)
 
     def segments(self, b: int) -> int:
-        """One more than can differ, and room for the empty segments that sets of the band have on average."""
-        low = self.tops[b - 1] + 1 if b else 1
-        least = self.differ(b) + 1
-        k = least
-        for _ in range(8):
-            empty = k * np.exp(-low / k)
-            k = min(least + ceil(empty + 2 * empty**0.5), 2 * least + 1)
-        return k
+        """One more than can differ, and room for the empty segments of nearly all sets that take part."""
+        if b not in self.counts:
+            low = max(1, (self.tops[b - 1] + 1) * self.num // self.den) if b else 1  # also from the band below
+            least = self.differ(b) + 1
+            k = least
+            for _ in range(12):
+                empty = k * np.exp(-low / k)
+                k = min(least + ceil(empty + ROOM * empty**0.5), 2 * least + 1)
+            self.counts[b] = k
+        return self.counts[b]
 
     def of(self, n: int) -> list[int]:
         """Bands in which a set of n takes part."""
@@ -267,33 +298,53 @@ def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 def set_rows(docs: DataFrame, words: int) -> DataFrame:
-    """(_id, _n, _node) and carried columns: size and digest of every row's set."""
+    """(_id, _n, _node, _sketch) and carried columns: size, digest and sketch of every row's set."""
     carried = [c for c in docs.columns if c not in ("_id", "_text")]
     schema = T.StructType(
         [
             docs.schema["_id"],
             T.StructField("_n", T.LongType()),
             T.StructField("_node", T.LongType()),
+            T.StructField("_sketch", T.BinaryType()),
             *[docs.schema[c] for c in carried],
         ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            n, node = [], []
+            n, node, marks = [], [], []
             for text in batch.column("_text"):
                 found = shingles(text.as_buffer().to_pybytes(), words) if text.is_valid else np.empty(0, dtype=U64)
                 n.append(len(found))
                 node.append(set_digest(found) if len(found) else None)
-            columns = [batch.column("_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64())]
+                marks.append(sketch(found) if len(found) else None)
+            columns = [batch.column("_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(marks, pa.binary())]
             columns += [batch.column(c) for c in carried]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def signature_rows(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(_sig, _node): the digests of every row's segments."""
+def repeated_filter(repeated: DataFrame) -> np.ndarray:
+    """Bloom filter of the digests (_sig), of a fixed size, put together in slices."""
+    place = F.shiftrightunsigned("_sig", 64 - FILTER_BITS)
+    width = (1 << FILTER_BITS) // SLICES
+    bits = repeated.select((place / width).cast("long").alias("slice"), (place % width).alias("bit")).distinct()
+
+    def build(group: pa.Table) -> pa.Table:
+        marks = np.zeros(width, dtype=np.uint8)
+        marks[np.asarray(group["bit"])] = 1
+        return pa.table({"slice": group["slice"][:1], "marks": pa.array([np.packbits(marks).tobytes()], pa.binary())})
+
+    out = np.zeros((SLICES, width // 8), dtype=np.uint8)
+    for r in bits.groupBy("slice").applyInArrow(build, "slice long, marks binary").toLocalIterator():  # 128 rows of 64 kB
+        out[r["slice"]] = np.frombuffer(r["marks"], dtype=np.uint8)
+    return out.ravel()
+
+
+def signature_rows(docs: DataFrame, words: int, num: int, den: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """(_sig, _node): the digests of every row's segments; of those in the filter, if one is given."""
+    shared = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
     schema = T.StructType([T.StructField("_sig", T.LongType()), T.StructField("_node", T.LongType())])
 
     def emit(sigs: list, nodes: list) -> pa.RecordBatch:
@@ -308,7 +359,11 @@ def signature_rows(docs: DataFrame, words: int, num: int, den: int) -> DataFrame
                 found = shingles(text.as_buffer().to_pybytes(), words) if text.is_valid else ()
                 if not len(found):
                     continue
-                sigs.append(signatures(found, bands))
+                own = signatures(found, bands)
+                if shared is not None:
+                    place = own >> U64(64 - FILTER_BITS)
+                    own = own[(shared.value[(place >> U64(3)).astype(np.int64)] >> (U64(7) - (place & U64(7))).astype(np.uint8)) & 1 > 0]
+                sigs.append(own)
                 nodes.append(np.full(len(sigs[-1]), set_digest(found), dtype=np.int64))
                 n += len(sigs[-1])
                 if n >= ROWS_OUT:
@@ -320,6 +375,23 @@ def signature_rows(docs: DataFrame, words: int, num: int, den: int) -> DataFrame
     return docs.select("_text").mapInArrow(run, schema)
 
 
+def near_members(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(pivot, node) of members (pivot, node, size, sketch) that may link with another one of their group.
+
+    A group's pivot is then the smallest that is left."""
+    sizes = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("_members"))
+    counted = members.join(sizes, "pivot")
+
+    def prune(group: pa.Table) -> pa.Table:
+        nodes = np.asarray(group["node"])
+        sketches = np.frombuffer(b"".join(group["sketch"].to_pylist()), dtype=U64).reshape(len(nodes), -1)
+        left = nodes[has_partner(np.asarray(group["size"]), sketches, num, den)]
+        return pa.table({"pivot": np.full(len(left), left.min(initial=np.iinfo(np.int64).max)), "node": left})
+
+    few = counted.where(F.col("_members") <= PRUNED).drop("_members").groupBy("pivot").applyInArrow(prune, "pivot long, node long")
+    return few.union(counted.where(F.col("_members") > PRUNED).select("pivot", "node")).distinct()
+
+
 def node_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """(node, size, shingles) of the given nodes, from one document each."""
     one = rows.join(nodes.withColumnRenamed("node", "_node"), "_node", "left_semi").groupBy("_node").agg(
@@ -407,9 +479,16 @@ def jaccard_components(
     docs = every.select("_id", "_text")
     sigs = signature_rows(docs.where("_id is not null"), words, num, den)
 
-    met = sigs.groupBy("_sig").agg(F.min("_node").alias("pivot"), F.max("_node").alias("_last"))
+    repeated = sigs.groupBy("_sig").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1")
+    wanted = repeated_filter(repeated.select("_sig"))
+    hits = stored(signature_rows(docs.where("_id is not null"), words, num, den, wanted), "jaccard-hits")
+    met = hits.groupBy("_sig").agg(F.min("_node").alias("pivot"), F.max("_node").alias("_last"))
     met = met.where("pivot <> _last").drop("_last")
-    meets = stored(sigs.join(met, "_sig").select("pivot", F.col("_node").alias("node")).distinct(), "jaccard-meets")
+    meets = stored(hits.join(met, "_sig").select("pivot", F.col("_node").alias("node")).distinct(), "jaccard-meets")
+    marks = rows.where("_node is not null").groupBy(F.col("_node").alias("node")).agg(
+        F.first("_n").alias("size"), F.first("_sketch").alias("sketch")
+    )
+    meets = stored(near_members(meets.join(marks, "node"), num, den), "jaccard-near")
 
     sets = stored(node_sets(docs, rows, meets.select("node").distinct(), words), "jaccard-node-sets")
     members = meets.join(sets.select("node", "size"), "node")
