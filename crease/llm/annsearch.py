@@ -41,12 +41,12 @@ from crease.llm.vectors import kmeans, matrix, nearest, sample, usable
 
 SAMPLE = 20_000  # vectors that the tree is fitted on
 BRANCHES = 16  # children of a node
-LEAF_SAMPLE = 64  # sample vectors in a leaf, at most
+LEAF_SAMPLE = 256  # sample vectors in a leaf, at most
 CALIBRATE = 200  # queries of the calibration
 TARGET = 0.97  # share of true neighbours to reach there
 GROUP_ROWS = 5_000
 GROUP_QUERIES = 10_000
-HELD = 1_000_000  # scored pairs that a task holds before it drops all but the best
+HELD = 300_000  # scored pairs that a task holds before it drops all but the best
 
 
 @dataclass
@@ -104,18 +104,30 @@ class Tree:
         return found
 
 
-def best(ids: np.ndarray, points: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """Positions (query, point) and scores of each query's ``k`` best points other than itself, and all ties with them."""
+def best(ids: np.ndarray, points: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray):
+    """Positions (query, point) and products of each query's ``k`` best points other than itself, as far as they
+    reach the query's floor, and all that are within rounding of them."""
     scores = queries @ points.T
-    own = query_ids[:, None] == ids[None, :]
-    scores[own] = -np.inf
-    if len(ids) > k:
-        least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
-        slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
-        q, p = np.nonzero((scores >= (least - slack)[:, None]) & ~own)
-    else:
-        q, p = np.nonzero(~own)
-    return q, p, (queries[q] * points[p]).sum(axis=1)
+    own = np.flatnonzero(np.isin(query_ids, ids))
+    scores[own, np.searchsorted(ids, query_ids[own])] = -np.inf  # ids rise
+    least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(queries), -np.inf)
+    least = np.maximum(least, floor)
+    q, p = np.nonzero((scores >= (least - slack(least))[:, None]) & (scores > -np.inf))
+    return q, p, scores[q, p]
+
+
+def slack(score: np.ndarray) -> np.ndarray:
+    """More than the rounding of a product near ``score``."""
+    return 1e-9 * (1 + np.abs(np.where(np.isfinite(score), score, 0)))
+
+
+def leading(query: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of each query's ``k`` best rows and all within rounding of them; the queries and their k-th scores."""
+    order = np.lexsort((-score, query))
+    q, s = query[order], score[order]
+    names, first, inverse, counts = np.unique(q, return_index=True, return_inverse=True, return_counts=True)
+    floor = np.where(counts >= k, s[np.minimum(first + k, first + counts) - 1], -np.inf)
+    return order[s >= (floor - slack(floor))[inverse]], names, floor
 
 
 def keep_best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -126,6 +138,11 @@ def keep_best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) ->
     return order[np.arange(len(q)) - first < k]
 
 
+def exact(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Inner products row by row, summed alike for equal vectors."""
+    return (queries * points).sum(axis=1)
+
+
 HITS = [T.StructField("_query", T.LongType()), T.StructField("_vec_id", T.LongType()), T.StructField("_score", T.DoubleType())]
 CHUNK = 500  # queries scored at a time
 
@@ -143,7 +160,10 @@ def _true_neighbours(rows: DataFrame, queries: list, tree: Tree, k: int) -> list
             for at in range(0, batch.num_rows, 5000):
                 part = batch.slice(at, 5000)
                 ids, points = np.asarray(part.column("_id")), matrix(part.column("_vec"))
-                q, p, score = best(ids, points, query_ids, vectors, k)
+                order = np.argsort(ids)
+                ids, points = ids[order], points[order]
+                q, p, score = best(ids, points, query_ids, vectors, k, np.full(len(vectors), -np.inf))
+                score = exact(vectors[q], points[p])
                 keep = keep_best(q, ids[p], score, k)
                 q, p, score = q[keep], p[keep], score[keep]
                 leaf = tree.leaf_of(points)[p]
@@ -227,29 +247,32 @@ def search(df: DataFrame, vec_id: str, vector: str, is_query: Column, k: int, ta
     )
 
     def score(vectors: pa.Table, asking: pa.Table) -> pa.Table:
-        ids, leaf = np.asarray(vectors["_id"]), np.asarray(vectors["_leaf"])
-        points, queries, query_ids = matrix(vectors["_vec"]), matrix(asking["_vec"]), np.asarray(asking["_id"])
-        lists = asking["_leaves"].combine_chunks() if asking.num_rows else None
-        wanted = np.asarray(lists.flatten()) if lists is not None else np.empty(0, dtype=np.int64)
-        owner = np.repeat(np.arange(len(query_ids)), np.diff(np.asarray(lists.offsets))) if lists is not None else wanted
+        vectors = vectors.sort_by("_id")
+        ids, leaf, points = np.asarray(vectors["_id"]), np.asarray(vectors["_leaf"]), matrix(vectors["_vec"])
+        query_ids, queries = np.asarray(asking["_id"]), matrix(asking["_vec"])
+        lists = asking["_leaves"].combine_chunks()
+        wanted = np.asarray(lists.flatten())
+        owner = np.repeat(np.arange(len(query_ids)), np.diff(np.asarray(lists.offsets)))
         held = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
-        fresh: list[tuple[np.ndarray, ...]] = []
-
-        def settle():
-            query, vec, s = (np.concatenate(c) for c in zip(held, *fresh, strict=True))
-            keep = keep_best(query, vec, s, k)
-            return query[keep], vec[keep], s[keep]
-
+        floor, fresh, n_fresh = np.full(len(query_ids), -np.inf), [], 0
         for at in np.intersect1d(leaf, wanted).tolist():
             own, who = np.flatnonzero(leaf == at), owner[wanted == at]
             for a in range(0, len(who), CHUNK):
                 some = who[a : a + CHUNK]
-                q, p, s = best(ids[own], points[own], query_ids[some], queries[some], k)
-                fresh.append((query_ids[some][q], ids[own][p], s))
-                if sum(len(x[0]) for x in fresh) > HELD:
-                    held, fresh = settle(), []
-        query, vec, s = settle()
-        return pa.table({"_query": query, "_vec_id": vec, "_score": s})
+                q, p, s = best(ids[own], points[own], query_ids[some], queries[some], k, floor[some])
+                fresh.append((some[q], own[p], s))
+                n_fresh += len(q)
+                if n_fresh > HELD:
+                    held = tuple(np.concatenate(c) for c in zip(held, *fresh, strict=True))
+                    keep, names, reached = leading(held[0], held[2], k)
+                    held, fresh, n_fresh = tuple(c[keep] for c in held), [], 0
+                    floor[names] = reached
+        q, p, s = (np.concatenate(c) for c in zip(held, *fresh, strict=True))
+        keep = leading(q, s, k)[0]
+        q, p = q[keep], p[keep]
+        s = exact(queries[q], points[p]) if len(q) else s[keep]
+        keep = keep_best(q, ids[p], s, k)
+        return pa.table({"_query": query_ids[q[keep]], "_vec_id": ids[p[keep]], "_score": s[keep]})
 
     keys = ["_group", "_block", "_part"]
     hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, T.StructType(HITS))
