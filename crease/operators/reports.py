@@ -213,13 +213,15 @@ def h2h_semi(dim_match: DataFrame, dim_team: DataFrame, pattern_a: str, pattern_
     )
 
 
-def json_document(head: dict, sections: list[tuple[str, DataFrame, tuple]], single: tuple[str, ...] = ()) -> DataFrame:
+def json_document(
+    head: dict, sections: list[tuple[str, DataFrame, tuple]], single: tuple[str, ...] = (), names: tuple[str, ...] = (),
+) -> DataFrame:
     """K9: one JSON document (one row, column ``doc``) from small result sets.
 
     ``head`` holds the request parameters (driver-side values).  Each section
     is (name, rows, sort key) with the sort key as (number, number, text, text)
     Columns, ascending; sections named in ``single`` hold one row and become an
-    object, the others arrays.  Sections are stacked with unions and folded by
+    object, those in ``names`` an array of their one column, the others arrays of objects.  Sections are stacked with unions and folded by
     one global aggregate: every section is a bounded report (top-k, one row per
     season / venue / requested pair), so the fold never sees unbounded data.
     """
@@ -230,7 +232,11 @@ def json_document(head: dict, sections: list[tuple[str, DataFrame, tuple]], sing
             a.cast("bigint").alias("a"), b.cast("bigint").alias("b"),
             F.coalesce(s1.cast("string"), blank).alias("s1"), F.coalesce(s2.cast("string"), blank).alias("s2"),
         )
-        part = df.select(F.lit(name).alias("section"), key.alias("k"), F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"}).alias("j"))
+        row = F.to_json(F.struct(*[F.col(c) for c in df.columns if c[0] != "_"]), {"ignoreNullFields": "false"})
+        if name in names:  # the value alone: what stands in a one-element array
+            text = F.to_json(F.array(F.col(df.columns[0])))
+            row = F.substring(text, F.lit(2), F.length(text) - 2)
+        part = df.select(F.lit(name).alias("section"), key.alias("k"), row.alias("j"))
         items = part if items is None else items.unionByName(part)
 
     def arr(name: str) -> Column:
@@ -250,19 +256,24 @@ def json_document(head: dict, sections: list[tuple[str, DataFrame, tuple]], sing
 
 def h2h_document(
     overall: DataFrame, per_season: DataFrame, by_venue: DataFrame, recent: DataFrame,
-    top_batters: DataFrame, top_bowlers: DataFrame, team_a: str, team_b: str, since_year: int,
+    top_batters: DataFrame, top_bowlers: DataFrame, team_a: str, team_b: str, since_year: int, venue: str | None = None,
 ) -> DataFrame:
-    """The combined head-to-head record as one JSON document."""
+    """The combined head-to-head record as one JSON document (match ids may be text; they don't appear)."""
     zero, blank = F.lit(0), F.lit("")
     return json_document(
-        {"team_a": team_a, "team_b": team_b, "since_year": since_year},
+        {"team_a": team_a, "team_b": team_b, "since_year": since_year, "venue": venue},
         [
             ("overall", overall, (zero, zero, blank, blank)),
-            ("per_season", per_season, (F.col("season_year"), zero, blank, blank)),
-            ("by_venue", by_venue, (-F.col("matches"), zero, F.col("venue_name"), blank)),
-            ("recent", recent, (-F.unix_date("match_date"), zero, F.col("match_id").cast("string"), blank)),
-            ("top_batters", top_batters, (-F.col("runs"), zero, F.col("batter_name"), F.col("batting_team"))),
-            ("top_bowlers", top_bowlers, (-F.col("wickets"), zero, F.col("bowler_name"), F.col("bowling_team"))),
+            ("per_season", per_season.withColumnRenamed("season_year", "season"), (F.col("season"), zero, blank, blank)),
+            ("by_venue", by_venue.withColumnRenamed("venue_name", "venue"), (-F.col("matches"), zero, F.col("venue"), blank)),
+            ("recent_matches", recent.select(
+                F.col("match_date").alias("date"), F.col("season_year").alias("season"), "team1", "team2", "winner", "margin",
+                F.col("venue_name").alias("venue"), "city", F.col("match_id").cast("string").alias("_id")),
+             (-F.unix_date("date"), zero, F.col("_id"), blank)),
+            ("top_batters", top_batters.withColumnsRenamed({"batter_name": "name", "batting_team": "team"}),
+             (-F.col("runs"), zero, F.col("name"), F.col("team"))),
+            ("top_bowlers", top_bowlers.withColumnsRenamed({"bowler_name": "name", "bowling_team": "team"}),
+             (-F.col("wickets"), zero, F.col("name"), F.col("team"))),
         ],
         single=("overall",),
     )
@@ -281,11 +292,24 @@ def squad_document(batting: DataFrame, bowling: DataFrame, team_name: str, seaso
 
 
 def matchup_document(grid: DataFrame, since_year: int, phase: str | None = None) -> DataFrame:
-    """The batter-versus-bowler grid as one JSON document (one entry per requested pair)."""
-    zero = F.lit(0)
+    """The batter-versus-bowler grid as one JSON document: an entry for each requested pair with
+    both players known, and the requested names without a player."""
+    zero, blank = F.lit(0), F.lit("")
+    known = grid.where(F.col("batter_id").isNotNull() & F.col("bowler_id").isNotNull())
+    pairs = known.drop("batter_id", "bowler_id").withColumnsRenamed({"batter_input": "batter", "bowler_input": "bowler"})
+
+    def missing(side: str) -> DataFrame:
+        return grid.where(F.col(f"{side}_id").isNull()).select(F.col(f"{side}_input").alias("name")).distinct()
+
+    by_name = (zero, zero, F.col("name"), blank)
     return json_document(
         {"since_year": since_year, "phase": phase},
-        [("matchups", grid, (zero, zero, F.col("batter_input"), F.col("bowler_input")))],
+        [
+            ("unresolved_batters", missing("batter"), by_name),
+            ("unresolved_bowlers", missing("bowler"), by_name),
+            ("matchups", pairs, (zero, zero, F.col("batter"), F.col("bowler"))),
+        ],
+        names=("unresolved_batters", "unresolved_bowlers"),
     )
 
 
