@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from crease.functions.numeric import count_if, ratio, round_half_up
 from crease.operators.joins import semi_join_checked
+from crease.session import scratch_path
 
 # --- fixed values (must equal the reference's) ---
 NO_WINNER_RESULTS = ("no result", "tie")
@@ -366,9 +367,16 @@ def squad_role(fact_ball: DataFrame, dim_match: DataFrame, team_name: str, seaso
     A player appears for the team when batting for it or bowling for it.
     """
     m = dim_match.where((F.col("season_year") == season_year) & (F.col("tournament") == tournament)).select("match_id")
-    bat = fact_ball.where(F.col("batting_team") == team_name).select("match_id", F.col("batter_name").alias("player_name"))
-    bowl = fact_ball.where(F.col("bowling_team") == team_name).select("match_id", F.col("bowler_name").alias("player_name"))
-    appearances = semi_join_checked(bat.unionByName(bowl), m, "match_id")
+    sides = F.array(
+        F.when(F.col("batting_team") == team_name, F.col("batter_name")), F.when(F.col("bowling_team") == team_name, F.col("bowler_name"))
+    )
+    balls = _prune_seasons(fact_ball, lambda s: s == season_year).where((F.col("batting_team") == team_name) | (F.col("bowling_team") == team_name))
+    balls = semi_join_checked(balls, m, "match_id")
+    # one pass over the fact; what is left is a row for each player and match of a team-season
+    appearances = balls.select("match_id", F.explode(F.filter(sides, lambda n: n.isNotNull())).alias("player_name")).distinct()
+    path = scratch_path(fact_ball.sparkSession, "appearances")
+    appearances.write.parquet(path)
+    appearances = fact_ball.sparkSession.read.parquet(path)
     team_matches = appearances.agg(F.countDistinct("match_id").alias("team_matches"))
     per_player = appearances.groupBy("player_name").agg(F.countDistinct("match_id").alias("matches"))
     # one-row total attached by a join on a constant key (one row, broadcast)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from crease.operators import flatten
-from crease.session import checkpoint_root
+from crease.session import checkpoint_root, scratch_path
 from crease.sources import documents
 
 
@@ -41,7 +41,9 @@ def _write_batch(target_dir: str):
     root = target_dir.rstrip("/")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        classified = documents.classify_documents(batch)
+        staged = scratch_path(batch.sparkSession, "classified")  # files are read and parsed once for both tables
+        documents.classify_documents(batch).write.parquet(staged)
+        classified = batch.sparkSession.read.parquet(staged)
         accepted = classified.where(F.col("reason").isNull()).select("path", "match_id", "order_key", "doc")
         quarantine = classified.where(F.col("reason").isNotNull()).select("path", "match_id", "status", "reason")
         facts = flatten.build_fact_ball(accepted)
