@@ -162,8 +162,7 @@ def enrich_venues(dim_venue: DataFrame, fact_ball: DataFrame, dim_match: DataFra
     """J13 + J8: fill missing attributes from the curated table (by normalised name) and
     recompute the first-innings average for every venue (NULL without matches)."""
     v = add_columns(dim_venue, VENUE_ENRICH_COLUMNS)
-    # curated has one row per key (bounded by construction): broadcast is size-safe
-    v = v.withColumn("venue_key", venue_key("venue_name")).join(F.broadcast(curated), "venue_key", "left")
+    v = v.withColumn("venue_key", venue_key("venue_name")).join(curated, "venue_key", "left")
     for c in VENUE_ATTRS:
         v = v.withColumn(c, F.coalesce(F.col(c), F.col(f"cur_{c}").cast(VENUE_ENRICH_COLUMNS[c])))
     v = v.drop("avg_first_innings_score").join(first_innings_average(fact_ball, dim_match), "venue_id", "left")

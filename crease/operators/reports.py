@@ -292,15 +292,14 @@ def squad_document(batting: DataFrame, bowling: DataFrame, team_name: str, seaso
     )
 
 
-def matchup_document(grid: DataFrame, since_year: int, phase: str | None = None) -> DataFrame:
-    """The batter-versus-bowler grid as one JSON document: an entry for each requested pair with
-    both players known, and the requested names without a player."""
+def matchup_document(grid: DataFrame, requested: DataFrame, since_year: int, phase: str | None = None) -> DataFrame:
+    """The batter-versus-bowler grid as one JSON document: an entry for each pair of ``grid``,
+    and the names of the ``requested`` pairs without a player."""
     zero, blank = F.lit(0), F.lit("")
-    known = grid.where(F.col("batter_id").isNotNull() & F.col("bowler_id").isNotNull())
-    pairs = known.drop("batter_id", "bowler_id").withColumnsRenamed({"batter_input": "batter", "bowler_input": "bowler"})
+    pairs = grid.drop("batter_id", "bowler_id").withColumnsRenamed({"batter_input": "batter", "bowler_input": "bowler"})
 
     def missing(side: str) -> DataFrame:
-        return grid.where(F.col(f"{side}_id").isNull()).select(F.col(f"{side}_input").alias("name")).distinct()
+        return requested.where(F.col(f"{side}_id").isNull()).select(F.col(f"{side}_input").alias("name")).distinct()
 
     by_name = (zero, zero, F.col("name"), blank)
     return json_document(
@@ -414,11 +413,10 @@ def matchup_grid(
     f = _prune_seasons(fact_ball, lambda s: s >= since_year)
     if phase is not None:
         f = f.where(F.col("match_phase") == phase)
-    # the id pairs are bounded by the request (|batters| x |bowlers|): safe to broadcast,
-    # and applied first so only the requested pairs' balls reach the match join
-    ids = F.broadcast(pairs.select("batter_id", "bowler_id").distinct())
+    # the pairs are applied first, so only the requested pairs' balls reach the match join
+    asked = semi_join_checked(f, pairs.select("batter_id", "bowler_id"), ["batter_id", "bowler_id"])
     stats = (
-        semi_join_checked(f.join(ids, ["batter_id", "bowler_id"], "left_semi"), m, "match_id")
+        semi_join_checked(asked, m, "match_id")
         .groupBy("batter_id", "bowler_id")
         .agg(
             count_if(F.col("is_legal_delivery")).alias("balls"),
