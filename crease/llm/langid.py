@@ -16,8 +16,9 @@ whole text where it lies: no shuffle.
 
 Defined cases.  Null texts and texts without a letter get ``und`` with score 0,
 and so does every text when no labelled row has letters.  Rows without label
-are not learned from.  Repeated rows count once in the fit.  Labels may be few
-or many; each needs one text with letters.  Empty table: no rows.  Only the
+are not learned from.  Repeated rows count once in the fit.  Labels are names of
+languages, a few hundred at most, as the model holds a column for each; one is
+learned if a drawn text of it has letters.  Empty table: no rows.  Only the
 named columns are read, so extra columns cannot clash.
 """
 
