@@ -41,7 +41,7 @@ from crease.llm.common import only
 
 LEAF = 4096  # characters of a leaf
 RUN_LEAF = 2048  # bytes of a leaf inside one match
-CACHED_WORDS = 500_000  # entries, then the cache starts anew
+CACHED_WORDS = 300_000  # entries, then the cache starts anew
 CACHED_CHARS = 40  # longer words are not kept
 ROWS_OUT = 256  # documents in an output batch
 
