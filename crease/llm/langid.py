@@ -14,8 +14,17 @@ numbers.  How many rows a language has is counted over all rows.  The broadcast
 model has at most 2**18 x landmarks small floats.  Every row is scored over its
 whole text where it lies: no shuffle.
 
-Defined cases.  Null texts and texts without a letter get ``und`` with score 0,
-and so does every text when no labelled row has letters.  Rows without label
+A text is ``known`` if it looks like a learned language.  The score can't tell:
+the languages' values for any text add up to 2 less their number, so the best is
+never low when they are few.  Instead the n-grams count, with repeats, that
+hardly any learned row of any language has.  Their share may exceed that of
+nearly all learned rows of the language found (each compared with the other
+rows) by ``STRANGE`` and a bit more in short texts, however many languages there
+are.  Where rows of a language are too few to know one another, nothing is
+rejected as that language.
+
+Defined cases.  Null texts and texts without a letter get ``und`` with score 0
+and aren't known, and so does every text when no labelled row has letters.  Rows without label
 are not learned from.  Repeated rows count once in the fit.  Labels are names of
 languages, a few hundred at most, as the model holds a column for each; one is
 learned if a drawn text of it has letters.  Empty table: no rows.  Only the
@@ -41,6 +50,8 @@ ORDERS = 3
 PER_LANG = 250  # labelled rows of a language to fit on
 LANDMARKS = 64  # in all, shared evenly by the languages
 RIDGE = 1e-3
+COMMON = 0.02  # share of a language's learned rows, two at least, that make an n-gram known
+USUAL, STRANGE = 0.9, 0.05  # quantile of the learned rows' shares of unknown n-grams, and what a text may add
 BATCH = 128  # documents in one matrix product
 UNKNOWN = "und"
 BLANK = 32
@@ -89,6 +100,13 @@ class Model:
     landmarks: np.ndarray  # columns x landmarks, presence over the root of the landmark's size
     weights: np.ndarray  # landmarks x languages
     bias: np.ndarray
+    common: np.ndarray  # bucket -> whether learned rows share it
+    limits: np.ndarray  # share of unknown n-grams that is usual in each language
+
+    def knows(self, found: np.ndarray, lang: int) -> bool:
+        """Whether a text, given as its buckets, looks like the language."""
+        unknown = 1 - np.count_nonzero(self.common[found]) / len(found)
+        return bool(unknown <= self.limits[lang] + STRANGE + len(found) ** -0.5)
 
     def margins(self, texts: list[np.ndarray]) -> np.ndarray:
         """Languages' regression values, a row for each text given as its buckets."""
@@ -102,6 +120,22 @@ class Model:
         return kernel @ self.weights + self.bias
 
 
+def familiar(sets: list[np.ndarray], labels: list[str], langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that enough rows of some language hold, and the usual share of other buckets in each language's rows.
+
+    A row is compared with the rows beside it: its own mark doesn't count."""
+    counts = {g: np.zeros(1 << BUCKET_BITS, dtype=np.int32) for g in langs}
+    for found, g in zip(sets, labels, strict=True):
+        counts[g][found] += 1
+    needed = {g: max(2, int(np.ceil(COMMON * labels.count(g)))) for g in langs}
+    holders = sum((counts[g] >= needed[g]).astype(np.int32) for g in langs)
+    unknown = {g: [] for g in langs}
+    for found, g in zip(sets, labels, strict=True):
+        lost = counts[g][found] == needed[g]  # known only with this row
+        unknown[g].append(np.count_nonzero(holders[found] - lost == 0) / len(found))
+    return holders > 0, np.array([np.quantile(unknown[g], USUAL) for g in langs])
+
+
 def fit_sets(sets: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """Kernel ridge regression on Nyström features of labelled sets of buckets."""
     langs = sorted(set(labels))
@@ -116,7 +150,7 @@ def fit_sets(sets: list[np.ndarray], labels: list[str], landmarks: int = LANDMAR
     marks = np.zeros((len(vocabulary), len(chosen)), dtype=np.float32)
     for k, i in enumerate(chosen):
         marks[column[sets[i]], k] = len(sets[i]) ** -0.5
-    model = Model(langs, column, marks, np.eye(len(chosen)), np.zeros(len(chosen)))
+    model = Model(langs, column, marks, np.eye(len(chosen)), np.zeros(len(chosen)), *familiar(sets, labels, langs))
     kernel = np.concatenate([model.margins(sets[a : a + BATCH]) for a in range(0, len(sets), BATCH)])
     values, vectors = np.linalg.eigh(kernel[chosen])
     keep = values > 1e-8 * values.max()
@@ -161,7 +195,7 @@ def fit(rows: DataFrame, text: str, lang: str, row_hash: Column, per_lang: int =
 
 
 def identify(df: DataFrame, text: str, keep: list[str], model: Model | None) -> DataFrame:
-    """Columns ``keep`` of every row with ``lang_pred`` and ``score`` (0 to 1)."""
+    """Columns ``keep`` of every row with ``lang_pred``, ``score`` (0 to 1) and ``known``."""
     kept = [f"_k{i}" for i in range(len(keep))]
     source = only(df, *keep, text).toDF(*kept, "_text")
     schema = T.StructType(
@@ -169,6 +203,7 @@ def identify(df: DataFrame, text: str, keep: list[str], model: Model | None) ->
             *source.schema.fields[:-1],
             T.StructField("lang_pred", T.StringType()),
             T.StructField("score", T.DoubleType()),
+            T.StructField("known", T.BooleanType()),
         ]
     )
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -181,13 +216,17 @@ def identify(df: DataFrame, text: str, keep: list[str], model: Model | None) ->
                 found = [buckets(t or "") for t in batch.column("_text").to_pylist()]
                 lettered = np.array([len(x) > 0 for x in found]) & (model is not None)
                 pred, score = np.full(len(found), UNKNOWN, dtype=object), np.zeros(len(found))
+                known = np.zeros(len(found), dtype=bool)
                 if lettered.any():
-                    margins = model.margins([x for x, y in zip(found, lettered, strict=True) if y])
+                    texts = [x for x, y in zip(found, lettered, strict=True) if y]
+                    margins = model.margins(texts)
                     best = margins.argmax(axis=1)
                     pred[lettered] = [model.langs[b] for b in best]
                     score[lettered] = np.clip((margins.max(axis=1) + 1) / 2, 0, 1)
+                    known[lettered] = [model.knows(x, b) for x, b in zip(texts, best.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], pa.array(pred.tolist(), pa.string()), pa.array(score)], names=schema.names
+                    [*batch.columns[:-1], pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array(known)],
+                    names=schema.names,
                 )
 
-    return source.mapInArrow(run, schema).toDF(*keep, "lang_pred", "score")
+    return source.mapInArrow(run, schema).toDF(*keep, "lang_pred", "score", "known")

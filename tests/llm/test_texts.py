@@ -12,7 +12,7 @@ import pytest
 from crease.llm import bpe, chunkdedup, jaccard, langid, linededup
 from pyspark.sql import functions as F
 
-from tests.llm.conftest import prose, rows_of
+from tests.llm.conftest import SCHEMA, prose, rows_of
 
 MULTI = public.path("byte_bpe_multi_50k.tiktoken")
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -278,6 +278,25 @@ def test_language_of_hard_rows(hard_docs, hard_rows, clashing, no_docs):
     assert {r.lang_pred for r in langid.identify(hard_docs, "text", [], None).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("langs", [1, 2, 4])
+def test_pipeline_rejects_junk_and_unlearned_languages(spark, langs):
+    import corpus_pipeline
+
+    marks = {"en": "th ing er on", "de": "sch ung ei um", "fr": "eau oi ent ai", "es": "cion ado ll ez"}
+    speak = lambda rnd, parts, n: " ".join("".join(rnd.choice(parts) for _ in range(3)) for _ in range(n))
+    rnd, rows = random.Random(6), []
+    for lang, m in list(marks.items())[:langs]:
+        rows += [(len(rows) + i, speak(rnd, [*m.split(), "a", "o"], rnd.randint(3, 60)), lang, "s", 1) for i in range(90)]
+    clean, letters = len(rows), "abcdefghijklmnopqrstuvwxyz"
+    for n in (10, 40, 200):
+        rows.append((1000 + n, speak(rnd, letters, n), None, "junk", 1))
+        rows.append((2000 + n, speak(rnd, ["kw", "jy", "zaa", "vuu"], n), None, "unlearned", 1))
+        rows.append((3000 + n, speak(rnd, ["при", "вет", "мир"], n), None, "unlearned", 1))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    left = [r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()]
+    assert sorted(left) == list(range(clean))
+
+
 # -- the pipeline
 
 
