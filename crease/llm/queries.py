@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crease.llm import annsearch, bpe, chunkdedup, graphdedup, jaccard, langid, linededup, packing, quality, sharding
+from crease.llm import annsearch, bpe, chunkdedup, graphdedup, jaccard, langid, linededup, packing, quality, sharding, toxicity
 from crease.llm.common import table, unsigned_crc32
 
 
@@ -109,6 +109,26 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def toxic_held_out(doc_id: str = "doc_id") -> Column:
+    """Documents whose labels a toxicity model may not learn from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+TOXIC_SCORE = 0.3
+
+
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learned from confirmed toxic and unlabelled documents outside the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, "doc_id", "text", labels, "doc_id", "toxic", ~toxic_held_out("_key"))
+    return toxicity.scored(docs, "text", ["doc_id"], model).select(
+        "doc_id",
+        toxic_held_out().alias("held_out"),
+        "score",
+        F.when(F.col("score") >= TOXIC_SCORE, 1).otherwise(0).alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_quality": (op1_quality, None),
     "op2_near_dedup": (op2_near_dedup, None),
@@ -120,4 +140,5 @@ QUERIES = {
     "op5_line_dedup": (op5_line_dedup, linededup.ORACLE_SQL),
     "op6_nearest": (op6_nearest, None),
     "op7_sharding": (op7_sharding, None),
+    "op11_toxicity": (op11_toxicity, None),
 }
