@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crease.llm import annsearch, bpe, chunkdedup, graphdedup, jaccard, langid, linededup, packing, quality, sharding, toxicity
+from crease.llm import annsearch, bpe, chunkdedup, graphdedup, jaccard, langid, linededup, merkle, packing, quality, sharding, toxicity
 from crease.llm.common import table, unsigned_crc32
 
 
@@ -129,6 +129,13 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a leaf of its language's hash tree, with its proof, checked against a tampered copy."""
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    return merkle.manifest(docs, "doc_id", fields, "lang", {"text": merkle.tampered_text()})
+
+
 QUERIES = {
     "op1_quality": (op1_quality, None),
     "op2_near_dedup": (op2_near_dedup, None),
@@ -141,4 +148,5 @@ QUERIES = {
     "op6_nearest": (op6_nearest, None),
     "op7_sharding": (op7_sharding, None),
     "op11_toxicity": (op11_toxicity, None),
+    "op12_merkle": (op12_merkle, merkle.ORACLE_SQL),
 }
