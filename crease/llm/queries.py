@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crease.llm import annsearch, bpe, chunkdedup, graphdedup, jaccard, langid, linededup, merkle, packing, quality, sharding, toxicity
+from crease.llm import annsearch, bpe, centroids, chunkdedup, graphdedup, jaccard, langid, linededup, merkle, packing, quality, sharding, toxicity
 from crease.llm.common import table, unsigned_crc32
 
 
@@ -136,6 +136,13 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, "doc_id", fields, "lang", {"text": merkle.tampered_text()})
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 64-component vectors in 16 clusters after three exact integer rounds."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found, centres = centroids.cluster(vectors, "vec_id", "embedding", k=16, rounds=3, dims=64, scale=64)
+    return centroids.with_digest(found, centres)
+
+
 QUERIES = {
     "op1_quality": (op1_quality, None),
     "op2_near_dedup": (op2_near_dedup, None),
@@ -149,4 +156,5 @@ QUERIES = {
     "op7_sharding": (op7_sharding, None),
     "op11_toxicity": (op11_toxicity, None),
     "op12_merkle": (op12_merkle, merkle.ORACLE_SQL),
+    "op13_centroids": (op13_centroids, centroids.oracle_sql()),
 }
