@@ -21,6 +21,9 @@ COLUMNS = {
     "op7_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
     "op8_language_id": ["doc_id", "held_out", "lang_pred", "score"],
     "op9_substring_dedup": ["doc_id", "text", "n_chunks", "n_removed", "first_docs"],
+    "op11_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op12_merkle": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
+    "op13_centroids": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
     "op10_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
 }
 
@@ -40,7 +43,7 @@ def test_all_are_registered():
     assert {*COLUMNS, "pipeline"} <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["op1_quality", "op3_jaccard_join", "op5_line_dedup", "op8_language_id", "op9_substring_dedup"])
+@pytest.mark.parametrize("name", ["op1_quality", "op3_jaccard_join", "op5_line_dedup", "op8_language_id", "op9_substring_dedup", "op11_toxicity", "op12_merkle"])
 def test_one_row_for_each_document(results, documents, name):
     df = results(name)
     assert df.columns == COLUMNS[name]
