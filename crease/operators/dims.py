@@ -131,8 +131,8 @@ def build_dim_match(headers: DataFrame, aliases: dict[str, str] = TEAM_RENAMES,
         team_id(F.col("toss_winner")).alias("toss_winner_team_id"),
         blank_to_null("toss_decision").alias("toss_decision"),
         team_id(F.col("winner")).alias("winner_team_id"),
-        F.col("win_by_runs").cast("int").alias("win_by_runs"),
-        F.col("win_by_wickets").cast("int").alias("win_by_wickets"),
+        F.col("win_by_runs").try_cast("double").try_cast("int").alias("win_by_runs"),
+        F.col("win_by_wickets").try_cast("double").try_cast("int").alias("win_by_wickets"),
         blank_to_null("result").alias("result"),
         blank_to_null("method").alias("method"),
         pom_id.alias("player_of_match_id"),

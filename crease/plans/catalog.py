@@ -53,4 +53,4 @@ def values_sql(rows: list[tuple], cols: str) -> str:
 
 
 # importing the query modules fills QUERIES
-from crease.plans import q_derived, q_dims, q_enrich, q_ingest, q_quality, q_reports, q_sinks  # noqa: E402,F401
+from crease.plans import q_derived, q_dims, q_documents, q_enrich, q_ingest, q_quality, q_reports, q_sinks  # noqa: E402,F401

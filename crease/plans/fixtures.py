@@ -20,6 +20,7 @@ from crease.operators import dims
 from crease.plans import write
 from crease.session import scratch_path
 from crease.sources import testdata as td
+from crease.sources import typed_documents
 
 _STORED: dict[tuple[str, str, str], str] = {}
 _STARS: dict[str, write.StoredStar] = {}
@@ -111,9 +112,20 @@ def a3_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_root(spark, sf_dir, "a3", build))
 
 
+def a4_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The A4 documents (path, text): every kind of wrong-typed field, as a stored table."""
+
+    def build(root: str) -> None:
+        docs = typed_documents.a4_documents(a1_headers(spark, sf_dir), a1_star(spark, sf_dir).fact_ball)
+        docs.repartition(max(1, spark.sparkContext.defaultParallelism)).write.mode("overwrite").parquet(root)
+
+    return spark.read.parquet(_root(spark, sf_dir, "a4", build))
+
+
 def prepare(spark: SparkSession, sf_dir: str) -> None:
     """Materialise every stored adapter (used by the bench to time it separately)."""
     a1_star(spark, sf_dir)
     a1_headers(spark, sf_dir)
     a1_registry_entries(spark, sf_dir)
     a3_documents(spark, sf_dir).agg(F.count(F.lit(1))).collect()
+    a4_documents(spark, sf_dir).agg(F.count(F.lit(1))).collect()

@@ -7,7 +7,8 @@ string, unknown keys under registry and extras), so:
   element is parsed on its own, because one wrong-typed element would null a
   whole ARRAY<STRUCT> while the reference keeps going;
 * wickets and fielders are ARRAY<STRING> for the same reason;
-* runs are read as text and cast afterwards (``4.0`` and ``"4"`` count as 4);
+* runs and win margins are read as text and cast afterwards (``4.0`` and ``"4"`` count as 4);
+* a field of a wrong type (an array for an object, text for a list) is NULL and its neighbours stay;
 * ``non_boundary`` is BOOLEAN, so only a JSON ``true`` vetoes a boundary.
 """
 
@@ -18,7 +19,7 @@ DOC_SCHEMA = (
     "info struct<event: string, gender: string, season: string, dates: array<string>, teams: array<string>, "
     "venue: string, city: string, toss: struct<winner: string, decision: string>, "
     "registry: struct<people: map<string, string>>, "
-    "outcome: struct<winner: string, by: struct<runs: double, wickets: double>, result: string, method: string>, "
+    "outcome: struct<winner: string, by: struct<runs: string, wickets: string>, result: string, method: string>, "
     "player_of_match: array<string>>, "
     "innings array<string>"
 )
