@@ -22,14 +22,41 @@ def shuffles(plan: str) -> int:
     return len(re.findall(r"Exchange (hashpartitioning|rangepartitioning|RoundRobinPartitioning|SinglePartition)", plan))
 
 
-def test_windows_over_deliveries_never_hold_a_whole_innings(spark):
-    rows = [("m", 1, i, 1, i, "A", 1, 1, False) for i in range(1, 4)]
+@pytest.fixture(scope="module")
+def stored_balls(spark, tmp_path_factory):
+    rows = [("m", 1, i, 1 + i // 6, i % 6, "A", 1, 1, False) for i in range(300)]
     fact = spark.createDataFrame(
         rows, "match_id string, innings_number int, delivery_sequence int, over_number int, ball_in_over int, "
               "batter_name string, batter_runs int, total_runs int, is_bowler_wicket boolean")
-    plan = plan_of(derived.derived_columns(fact))
+    path = str(tmp_path_factory.mktemp("balls") / "fact")
+    fact.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_windows_over_deliveries_never_hold_a_whole_innings(spark, stored_balls):
+    plan = plan_of(derived.derived_columns(stored_balls))
     windows = re.findall(r"Window \[.*?\], \[([^\]]*)\], \[over_number", plan)
-    assert len(windows) >= 3 and all("chunk" in keys for keys in windows)
+    assert len(windows) >= 3 and all("_chunk" in keys for keys in windows)
+
+
+@pytest.mark.parametrize("adaptive", ["false", "true"])
+def test_running_columns_read_and_shuffle_the_fact_once(spark, stored_balls, adaptive):
+    """One scan and one shuffle of the balls; the other two shuffles hold a row a chunk (shuffled joins)."""
+    conf = {"spark.sql.adaptive.enabled": adaptive, "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = derived.derived_columns(stored_balls)
+        assert df.count() == 300
+        df = derived.derived_columns(stored_balls)
+        df.collect()
+        plan = plan_of(df).split("== Initial Plan ==")[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("FileScan") == 1
+    assert plan.count("ReusedExchange") == 1 and shuffles(plan) - plan.count("ReusedExchange") == 3
 
 
 def test_flatten_is_narrow(spark):
