@@ -177,23 +177,58 @@ DIM_GENDER_CHECKS = ["dim_player", "dim_season"]
 # --- end fixed values ---
 
 
-def _key_rows(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
-    return duplicate_keys(df, keys).select(
-        F.lit(table).alias("table_name"), F.lit("primary_key").alias("constraint_name"), F.col("extra_rows").alias("violations")
+FACT_KEY = ["match_id", "innings_number", "delivery_sequence"]
+
+
+def table_rules(table: str) -> list[tuple[str, Column]]:
+    """Q6: NOT NULL and CHECK rules of a table of the star: (name, condition of a violation)."""
+    if table == "fact_ball":
+        return fact_ball_rules()
+    rules = [(f"not_null_{c}", F.col(c).isNull()) for c in DIM_NOT_NULL.get(table, [])]
+    if table in DIM_GENDER_CHECKS:
+        rules.append(("check_gender", F.coalesce(~F.col("gender").isin(*GENDERS), F.lit(True))))
+    return rules
+
+
+def observed_metrics(table: str) -> list[Column]:
+    """What a write of the table observes of its rows, without a scan of its own.
+
+    ``rows``, the violations of each rule, and for the fact the rows of each phase."""
+    metrics = [F.count(F.lit(1)).alias("rows"), *[count_if(cond).alias(name) for name, cond in table_rules(table)]]
+    if table == "fact_ball":
+        metrics += [count_if(F.col("match_phase") == p).alias(f"phase_{p}") for p in MATCH_PHASES]
+    return metrics
+
+
+def _rules_seen(spark, table: str, seen: dict[str, int]) -> DataFrame:
+    rows = [(table, name, int(seen[name])) for name, _ in table_rules(table)]
+    return spark.createDataFrame(rows, "table_name string, constraint_name string, violations bigint")
+
+
+def primary_keys(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """Q4 for many tables in one keyed aggregate: (table_name, primary_key, rows beyond the first of a key)."""
+    tagged = None
+    for name, (df, keys) in tables.items():
+        part = df.select(F.lit(name).alias("table_name"), F.array(*[F.col(k).cast("string") for k in keys]).alias("key"))
+        tagged = part if tagged is None else tagged.unionByName(part)
+    extra = tagged.groupBy("table_name", "key").agg((F.count(F.lit(1)) - 1).alias("extra"))
+    found = extra.groupBy("table_name").agg(F.sum("extra").alias("extra"))
+    names = tagged.sparkSession.createDataFrame([(n,) for n in tables], "table_name string")
+    return names.join(found, "table_name", "left").select(
+        "table_name", F.lit("primary_key").alias("constraint_name"), F.coalesce("extra", F.lit(0)).cast("bigint").alias("violations")
     )
 
 
-def dimension_constraints(tables: dict[str, DataFrame]) -> DataFrame:
-    """Q6 for the dimensions: keys, NOT NULL, genders, and the match table's references.
+def dimension_constraints(tables: dict[str, DataFrame], observed: dict[str, dict] | None = None) -> DataFrame:
+    """Q6 for the dimensions: NOT NULL, genders, and the match table's references.
 
     A NULL reference breaks a NOT NULL rule or is allowed; it never counts as an orphan."""
     parts = []
-    for name, columns in DIM_NOT_NULL.items():
-        rules = [(f"not_null_{c}", F.col(c).isNull()) for c in columns]
-        if name in DIM_GENDER_CHECKS:
-            rules.append(("check_gender", F.coalesce(~F.col("gender").isin(*GENDERS), F.lit(True))))
-        parts.append(_rule_rows(tables[name], name, rules))
-        parts.append(_key_rows(tables[name], name, DIM_KEYS[name]))
+    for name in DIM_NOT_NULL:
+        if observed and name in observed:
+            parts.append(_rules_seen(tables[name].sparkSession, name, observed[name]))
+        else:
+            parts.append(_rule_rows(tables[name], name, table_rules(name)))
     team, refs = (tables["dim_team"], "team_id"), {}
     refs["venue_id"] = (tables["dim_venue"], "venue_id")
     refs |= {c: team for c in ("team1_id", "team2_id", "toss_winner_team_id", "winner_team_id")}
@@ -209,18 +244,22 @@ def dimension_constraints(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def constraint_report(star, player_dim: DataFrame | None = None) -> DataFrame:
+def constraint_report(star, player_dim: DataFrame | None = None, observed: dict[str, dict] | None = None) -> DataFrame:
     """Q6: declared constraints (PK, NOT NULL, CHECK, FK) of all tables as one report.
 
-    (table_name, constraint_name, violations, passed); a write must not proceed
-    while any row has passed = false.
+    (table_name, constraint_name, violations, passed); nothing may be published
+    while any row has passed = false.  Rules whose violations a write ``observed``
+    (``observed_metrics``) cost no scan; the keys of all tables are one aggregate,
+    and the references of a table another.
     """
     fact, dm, dp = star.fact_ball, star.dim_match, player_dim if player_dim is not None else star.dim_player
     tables = {"dim_player": dp, "dim_match": dm} | {n: getattr(star, n) for n in ("dim_team", "dim_venue", "dim_season")}
+    seen = (observed or {}).get("fact_ball")
+    keyed = {"fact_ball": (fact, FACT_KEY)} | {n: (tables[n], k) for n, k in DIM_KEYS.items()}
     parts = [
-        _rule_rows(fact, "fact_ball", fact_ball_rules()),
-        _key_rows(fact, "fact_ball", ["match_id", "innings_number", "delivery_sequence"]),
-        dimension_constraints(tables),
+        _rules_seen(fact.sparkSession, "fact_ball", seen) if seen else _rule_rows(fact, "fact_ball", fact_ball_rules()),
+        primary_keys(keyed),
+        dimension_constraints(tables, observed),
     ]
     # every FK of the fact in one pass; NULL optional ids (player out, fielder) are allowed
     optional = ("player_out_id", "fielder_id")
@@ -287,3 +326,22 @@ def run_all_checks(
         F.col("duplicate_keys").cast("double").alias("observed"), (F.col("duplicate_keys") == 0).alias("passed"),
     )
     return rc.unionByName(orph).unionByName(ph).unionByName(dup)
+
+
+def observed_checks(spark, report: list, observed: dict[str, dict], actual: dict[str, int]) -> DataFrame:
+    """Q5 without a further pass: (check_name, severity, observed, passed) in ``run_all_checks``' order.
+
+    ``report``: the rows of ``constraint_report`` over the written tables; ``observed``: what
+    their writes saw, whose row counts are the expectation; ``actual``: rows found in the files."""
+    violations = {(r["table_name"], r["constraint_name"]): r["violations"] for r in report}
+    rows = [(f"row_count:{t}", "fail", float(n), n == observed[t]["rows"]) for t, n in actual.items()]
+    for c in ("batter_id", "bowler_id", "non_striker_id", "match_id"):
+        n = violations["fact_ball", f"fk_{c}"]
+        rows.append((f"orphans:{c}", "fail", float(n), n == 0))
+    fact = observed["fact_ball"]
+    for phase, (low, high) in PHASE_RANGES.items() if fact["rows"] else ():
+        share = fact[f"phase_{phase}"] / fact["rows"]
+        rows.append((f"phase_share:{phase}", "warn", share, low <= share <= high))
+    n = violations["fact_ball", "primary_key"]
+    rows.append(("duplicates:fact_ball", "fail", float(n), n == 0))
+    return spark.createDataFrame(rows, "check_name string, severity string, observed double, passed boolean")

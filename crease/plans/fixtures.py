@@ -59,7 +59,7 @@ def _build_a1(spark: SparkSession, sf_dir: str, root: str) -> None:
         "dim_match": td.a1_dim_match(spark, sf_dir),
     }
     dims_out["dim_match"] = _spread(spark, dims_out["dim_match"])
-    write.write_star(dims_out, root)
+    write.write_tables(dims_out, root)
     dm = spark.read.parquet(f"{root}/dim_match")
     write.write_table(dims.build_dim_season(dm), f"{root}/dim_season")
     # team names and season come from the stored match table: orders are read once

@@ -1,19 +1,29 @@
 """Sinks (K1, K2, K4, K5) and the star's physical layout.
 
-* K1/K2/K4: each table is overwritten as a whole (idempotent re-run) with its
-  columns in schema order; an empty input writes an empty table.
+* K1/K2/K4: every table is written as a whole with its columns in schema order; an
+  empty input writes an empty table.  A star is written into a folder of its own
+  (``versions/<id>``) and published last, by one row appended to the manifest: its
+  file appears at once, by the committer's rename.  Readers take the newest row, so
+  they see the old star or the new one, never a mixture; a run that dies midway
+  leaves a folder that no manifest names.
 * K5 (the reference's secondary indexes, re-aimed): the fact is tagged with
   its season and written ``partitionBy(season_year)`` so season filters prune
-  directories; rows are range-partitioned on (season_year, match_id) so each
-  task writes few files, and sorted by (match_id, innings, sequence) so Parquet
-  row-group statistics skip data for match / id filters.
-* Nothing is written while a 'fail' row of the quality report is false
-  (Parquet enforces no constraint, so the expectations gate the write).
+  directories; rows are rebalanced on (season_year, match_id) so each task writes
+  few files, and sorted by (match_id, innings, sequence) so Parquet row-group
+  statistics skip data for match filters; Bloom filters of the batter and bowler
+  columns let a row group be skipped that holds none of the players asked for.
+* Counts and rule violations are observed by the write itself (``observe``), in its
+  last stage, so they are those of the rows that were written.
+* Nothing is published while a 'fail' row of the quality report is false
+  (Parquet enforces no constraint, so the expectations gate the switch).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from crease.operators import quality
@@ -31,13 +41,29 @@ STAR_COLUMNS = {
 }
 
 
-def write_table(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """K1 + K2: overwrite ``path`` with the columns in the given order."""
+def _observed(df: DataFrame, table: str | None) -> tuple[DataFrame, Observation | None]:
+    if table is None:
+        return df, None
+    seen = Observation(f"{table}-{uuid.uuid4().hex[:8]}")
+    return df.observe(seen, *quality.observed_metrics(table)), seen
+
+
+def write_table(df: DataFrame, path: str, columns: list[str] | None = None, table: str | None = None) -> dict[str, int]:
+    """K1 + K2: overwrite ``path`` with the columns in the given order; what a write of ``table`` observes."""
+    df, seen = _observed(df, table)
     out = df.select(*columns) if columns else df
     out.write.mode("overwrite").parquet(path)
+    return seen.get if seen else {}
 
 
-def write_fact(fact: DataFrame, dim_match: DataFrame | None, path: str, extra_columns: list[str] | None = None) -> None:
+BLOOM_COLUMNS = ("batter_name", "bowler_name", "batter_id", "bowler_id")
+ROW_GROUP_MB = 32
+BLOOM_VALUES = 20_000  # distinct players a row group is laid out for
+
+
+def write_fact(
+    fact: DataFrame, dim_match: DataFrame | None, path: str, extra_columns: list[str] | None = None, table: str | None = None
+) -> dict[str, int]:
     """K4 + K5: the fact, season-partitioned, clustered and sorted for pruning.
 
     Rows are rebalanced on (season_year, match_id): hash-clustered on those
@@ -53,13 +79,15 @@ def write_fact(fact: DataFrame, dim_match: DataFrame | None, path: str, extra_co
         tagged = fact.select(*cols, "season_year")
     else:
         tagged = fact.select(*cols).join(dim_match.select("match_id", "season_year"), "match_id", "left")
-    (
-        tagged.hint("rebalance", "season_year", "match_id")
-        .sortWithinPartitions("season_year", "match_id", "innings_number", "delivery_sequence")
-        .write.mode("overwrite")
-        .partitionBy("season_year")
-        .parquet(path)
+    rows = tagged.hint("rebalance", "season_year", "match_id").sortWithinPartitions(
+        "season_year", "match_id", "innings_number", "delivery_sequence"
     )
+    rows, seen = _observed(rows, table)
+    writer = rows.write.mode("overwrite").partitionBy("season_year").option("parquet.block.size", ROW_GROUP_MB << 20)
+    for c in BLOOM_COLUMNS:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", BLOOM_VALUES)
+    writer.parquet(path)
+    return seen.get if seen else {}
 
 
 def gate(report: DataFrame) -> None:
@@ -69,26 +97,63 @@ def gate(report: DataFrame) -> None:
     quality.assert_passed(report, "pre-write quality gate")
 
 
-def write_star(tables: dict[str, DataFrame], root: str, report: DataFrame | None = None) -> dict[str, str]:
-    """Write every star table below ``root`` (after the gate); returns the paths."""
-    if report is not None:
-        gate(report)
-    paths = {}
-    for name, df in tables.items():
-        path = f"{root.rstrip('/')}/{name}"
+def write_tables(tables: dict[str, DataFrame], root: str, observe: bool = False) -> tuple[dict[str, str], dict[str, dict]]:
+    """Every table below ``root``; the paths, and what the writes observed.  Dimensions come first."""
+    paths, seen = {}, {}
+    for name in sorted(tables, key=lambda n: n == "fact_ball"):
+        df, path, table = tables[name], f"{root.rstrip('/')}/{name}", name if observe else None
         if name == "fact_ball":
-            write_fact(df, tables.get("dim_match"), path, extra_columns=[c for c in df.columns if c not in FACT_BALL_COLUMNS])
+            extra = [c for c in df.columns if c not in FACT_BALL_COLUMNS]
+            seen[name] = write_fact(df, tables.get("dim_match"), path, extra, table)
         else:
-            write_table(df, path, [c for c in STAR_COLUMNS.get(name, df.columns) if c in df.columns])
+            seen[name] = write_table(df, path, [c for c in STAR_COLUMNS.get(name, df.columns) if c in df.columns], table)
         paths[name] = path
+    return paths, seen
+
+
+MANIFEST = "seq bigint, version string, tables array<string>"
+
+
+def new_version(root: str) -> str:
+    """Folder of a star that isn't published yet."""
+    return f"{root.rstrip('/')}/versions/{time.strftime('%Y%m%d%H%M%S')}-{uuid.uuid4().hex[:8]}"
+
+
+def published(spark: SparkSession, root: str) -> str | None:
+    """Folder of the newest published version; None where nothing was published."""
+    path = f"{root.rstrip('/')}/manifest"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return None
+    newest = spark.read.schema(MANIFEST).json(path).orderBy(F.desc("seq"), F.desc("version")).first()
+    return None if newest is None else f"{root.rstrip('/')}/versions/{newest['version']}"
+
+
+def publish(spark: SparkSession, root: str, folder: str, tables: list[str]) -> None:
+    """Switch readers to the star in ``folder``: one row, in one file, is appended to the manifest."""
+    path = f"{root.rstrip('/')}/manifest"
+    latest = None if published(spark, root) is None else spark.read.schema(MANIFEST).json(path).agg(F.max("seq")).first()[0]
+    row = [((latest or 0) + 1, folder.rstrip("/").rsplit("/", 1)[-1], sorted(tables))]
+    spark.createDataFrame(row, MANIFEST).coalesce(1).write.mode("append").json(path)
+
+
+def write_star(tables: dict[str, DataFrame], root: str, report: DataFrame | None = None) -> dict[str, str]:
+    """Write every star table below ``root`` (after the gate) and publish them together; returns the paths."""
+    if report is not None:
+        gate(report)
+    folder = new_version(root)
+    paths, _ = write_tables(tables, folder)
+    publish(next(iter(tables.values())).sparkSession, root, folder, list(tables))
     return paths
 
 
 class StoredStar:
-    """The written star, read back lazily."""
+    """The written star, read back lazily (S8): the version published last when the reader was made.
+
+    A folder without a manifest is read as plain tables."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self._spark, self._root = spark, root.rstrip("/")
+        self._spark, self._root = spark, (published(spark, root) or root).rstrip("/")
         self._reads: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
@@ -101,12 +166,10 @@ class StoredStar:
             return self.table(name)
         raise AttributeError(name)
 
-
-def register_views(spark: SparkSession, root: str, names=tuple(STAR_COLUMNS)) -> None:
-    """The written star as temp views for SQL users."""
-    star = StoredStar(spark, root)
-    for n in names:
-        star.table(n).createOrReplaceTempView(n)
+    def register_views(self, names=tuple(STAR_COLUMNS)) -> None:
+        """The star's tables as temp views for SQL users."""
+        for n in names:
+            self.table(n).createOrReplaceTempView(n)
 
 
 def write_documents(docs: DataFrame, root: str) -> DataFrame:
