@@ -234,16 +234,37 @@ def markup_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, r"(?s)<[^>]*>", " "), r"\s+", " "))
 
 
-INFOBOX = r"""(?is)<table\b[^>]*\bclass\s*=\s*(?:"(?:[^"]*\s)?infobox(?:\s[^"]*)?"|'(?:[^']*\s)?infobox(?:\s[^']*)?'|infobox(?=[\s>]))[^>]*>(.*?)</table>"""
+INFOBOX_TAG = r"""(?is)^<table\b[^>]*\bclass\s*=\s*(?:"(?:[^"]*\s)?infobox(?:\s[^"]*)?"|'(?:[^']*\s)?infobox(?:\s[^']*)?'|infobox(?=[\s>]))[^>]*>"""
+TABLE_EDGES = r"(?i)(?=<table\b)|(?<=</table>)"
+
+
+def infobox(html: Column) -> Column:
+    """Markup of the first table of class infobox up to the end tag that matches its start, tables in its cells included.
+
+    The page is cut before each table tag and after each end tag; a scan over the pieces
+    counts how many tables are open (-1 once the box is closed).  A box that never ends
+    goes on to the end of the page.  '' without one."""
+
+    def step(at: Column, piece: Column) -> Column:
+        opens = F.when(piece.rlike(r"(?i)^<table\b"), 1).otherwise(0)
+        closes = F.when(piece.rlike(r"(?i)</table>$"), 1).otherwise(0)
+        depth = at["depth"] + opens - closes
+        inside = F.struct(F.when(depth <= 0, -1).otherwise(depth).alias("depth"), F.concat(at["text"], piece).alias("text"))
+        waiting = (at["depth"] < 0) | ((at["depth"] == 0) & ~piece.rlike(INFOBOX_TAG))
+        return F.when(waiting, at).otherwise(inside)
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))
+    return F.aggregate(F.split(html, TABLE_EDGES), start, step)["text"]
 
 
 def infobox_number(html: Column, header_word: str = "capacity") -> Column:
     """First integer of the first infobox row whose header mentions ``header_word`` and whose value has one.
 
     Expressions alone: the first table of class infobox, cut before each row; a row's
-    header and value are its first th and td, which end where the next cell or row begins."""
-    box = F.regexp_extract(html, INFOBOX, 1)
-    rows = F.slice(F.split(box, r"(?i)<tr\b[^>]*>"), 2, 1 << 20)
+    header and value are its first th and td, which end where the next cell or row begins.
+    Rows of a table inside a cell are rows as well."""
+    pieces = F.split(infobox(html), r"(?i)<tr\b[^>]*>")
+    rows = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
     cell = lambda row, tag: F.regexp_extract(row, rf"(?is)<{tag}\b[^>]*>(.*?)(?:</{tag}|<t[dhr]\b|$)", 1)
     fitting = F.filter(rows, lambda r: F.contains(F.lower(markup_text(cell(r, "th"))), F.lit(header_word.lower())))
     numbers = F.transform(fitting, lambda r: first_integer(markup_text(cell(r, "td"))))

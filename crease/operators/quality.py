@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crease.functions.numeric import count_if
+from crease.session import scratch_path
 
 # --- fixed values (must equal the reference's) ---
 # Expected share of deliveries per phase (warn outside).
@@ -108,6 +109,57 @@ def orphan_ids(fact: DataFrame, fk_cols: list[str], dim: DataFrame, dim_key: str
     return missing.groupBy("fk_column").agg(F.count(F.lit(1)).alias("missing_ids"), F.min("id").alias("sample_id"))
 
 
+SAMPLES = 5
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table below the shared folder, for several readers."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def orphan_samples(
+    fact: DataFrame, refs: dict[str, tuple[DataFrame, str]], row: dict[str, tuple[str, ...]], samples: int = SAMPLES
+) -> DataFrame:
+    """Per id column its distinct ids, those without a dimension row and their rows, samples and an example.
+
+    ``refs`` maps an id column to (dimension, key column); ``row`` names the columns shown
+    of an example row, the key's first.  One pass over ``fact``: ids are counted per
+    (column, id) before the shuffle, with their smallest row.  The ``samples`` smallest
+    missing ids of a column are taken by a ranked window that drops the others in each
+    task before its shuffle; the example is the smallest missing id's smallest row."""
+    shown = {c: F.array(*[F.col(x).cast("string") for x in row[c]]) for c in refs}
+    each = [F.struct(F.lit(c).alias("fk_column"), F.col(c).cast("string").alias("id"), shown[c].alias("row")) for c in refs]
+    ids = fact.select(F.explode(F.array(*each)).alias("x")).select("x.*").where("id IS NOT NULL")
+    counted = ids.groupBy("fk_column", "id").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"))
+    keys = None
+    for c, (dim, key) in refs.items():
+        k = dim.select(F.lit(c).alias("fk_column"), F.col(key).cast("string").alias("id")).distinct().withColumn("known", F.lit(True))
+        keys = k if keys is None else keys.unionByName(k)
+    counted = _written(counted.join(keys, ["fk_column", "id"], "left").withColumn("known", F.col("known").isNotNull()), "orphan-ids")
+    totals = counted.groupBy("fk_column").agg(
+        F.count(F.lit(1)).alias("unique_ids"),
+        count_if(~F.col("known")).cast("bigint").alias("missing_ids"),
+        F.sum(F.when(F.col("known"), 0).otherwise(F.col("n"))).cast("bigint").alias("missing_rows"),
+    )
+    rank = F.row_number().over(Window.partitionBy("fk_column").orderBy("id"))
+    first = counted.where(~F.col("known")).withColumn("rank", rank).where(F.col("rank") <= samples)
+    taken = first.groupBy("fk_column").agg(
+        F.array_join(F.array_sort(F.collect_list("id")), ",").alias("sample_ids"),
+        F.min(F.when(F.col("rank") == 1, F.array_join("row", ","))).alias("example_row"),
+    )
+    names = fact.sparkSession.createDataFrame([(c,) for c in refs], "fk_column string")
+    out = names.join(totals, "fk_column", "left").join(taken, "fk_column", "left")
+    zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("unique_ids", "missing_ids", "missing_rows")]
+    return out.select("fk_column", *zero, "sample_ids", "example_row")
+
+
+def rows_above(df: DataFrame, value_col: str, bound: int, shown: list[str]) -> DataFrame:
+    """Every row whose ``value_col`` is above ``bound``, as its ``shown`` columns (a filter, pushed to the scan)."""
+    return df.where(F.col(value_col) > bound).select(*shown, value_col)
+
+
 def phase_share(fact: DataFrame, ranges: dict[str, tuple[float, float]] = PHASE_RANGES) -> DataFrame:
     """Share of rows per phase against its expected range; a missing phase counts 0."""
     spark = fact.sparkSession

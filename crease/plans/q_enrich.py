@@ -9,7 +9,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from crease.operators import enrich
+from crease.operators import auction, enrich
 from crease.oracle.adapters import A1, with_ctes
 from crease.plans.catalog import hu, register, values_sql
 from crease.plans import fixtures as fx
@@ -173,6 +173,28 @@ def q_upsert_latest(spark, sf):
     return out.select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice")
 
 
+AUCTION_ROWS = """SELECT 'P' || CAST(o_custkey AS {s}) AS player_name, CAST(year(o_orderdate) AS {s}) AS season, o_orderpriority AS team,
+  CAST(o_orderkey % 1000 AS DECIMAL(5,2)) AS sold_price_cr, CAST(o_orderkey % 100 AS DECIMAL(5,2)) AS base_price_cr,
+  o_orderstatus = 'F' AS is_retained, o_orderkey AS file_order FROM orders"""
+
+
+@register(
+    "auction_upsert",
+    f"""SELECT player_name, season, team, sold_price_cr, base_price_cr, is_retained FROM (
+  SELECT *, row_number() OVER (PARTITION BY player_name, season ORDER BY batch DESC, file_order DESC) AS rn FROM (
+    SELECT *, CASE WHEN file_order % 3 <> 0 THEN 1 WHEN season IN ('1996', '1997') THEN 2 END AS batch
+    FROM ({AUCTION_ROWS.format(s='VARCHAR')})) WHERE batch IS NOT NULL) WHERE rn = 1""",
+)
+def q_auction_upsert(spark, sf):
+    """K6 on (player_name, season): a first load of all seasons, then rows of two seasons merged into their partitions."""
+    td.table(spark, sf, "orders").createOrReplaceTempView("auction_orders")
+    rows = spark.sql(AUCTION_ROWS.format(s="STRING").replace("FROM orders", "FROM auction_orders"))
+    path = scratch_path(spark, "auction")
+    auction.merge_auction(spark, path, rows.where("file_order % 3 <> 0"), "file_order")
+    auction.merge_auction(spark, path, rows.where("file_order % 3 = 0 AND season IN ('1996', '1997')"), "file_order")
+    return auction.read_auction(spark, path)
+
+
 # ---------------------------------------------------------------- K7, K8
 @register(
     "schema_evolve",
@@ -227,10 +249,11 @@ def q_html_attribute(spark, sf):
     return p.select("page_id", enrich.html_title(F.col("html")).alias("title"), enrich.title_number(F.col("html")).alias("title_number"))
 
 
-# every page, five of six with an infobox rendered from its id: a plain one, one with nested markup and a thousands
-# comma, one whose first matching row has no number, one without the row, and a table of another class
-INFOBOX_SQL = """SELECT page_id, CASE page_id % 6
-  WHEN 0 THEN 1000 + page_id WHEN 1 THEN 12000 + page_id % 1000 WHEN 2 THEN page_id END AS capacity FROM pages"""
+# every page, six of seven with an infobox rendered from its id: a plain one, one with nested markup and a thousands
+# comma, one whose first matching row has no number, one without the row, a table of another class, and one with
+# tables inside the cells of earlier rows, followed by a table of its own
+INFOBOX_SQL = """SELECT page_id, CASE page_id % 7
+  WHEN 0 THEN 1000 + page_id WHEN 1 THEN 12000 + page_id % 1000 WHEN 2 THEN page_id WHEN 6 THEN 300 + page_id END AS capacity FROM pages"""
 
 
 def _with_infobox(pages):
@@ -239,13 +262,17 @@ def _with_infobox(pages):
     open_box, close = "<table class='infobox vcard'><tr><th colspan=2>Ground</th></tr>", "</table>"
     row = lambda head, *value: F.concat(F.lit(f"<tr><th scope='row'>{head}</th><td>"), *value, F.lit("</td></tr>"))
     box = (
-        F.when(n % 6 == 0, F.concat(F.lit(open_box), row("Capacity", (1000 + n).cast("string")), F.lit(close)))
-        .when(n % 6 == 1, F.concat(
+        F.when(n % 7 == 0, F.concat(F.lit(open_box), row("Capacity", (1000 + n).cast("string")), F.lit(close)))
+        .when(n % 7 == 1, F.concat(
             F.lit('<TABLE id="t" class="wide infobox"><tbody><TR><td>no header</td></TR>'),
             row("Seating <b>CAPACITY</b>", F.lit("<i>about</i> "), comma, F.lit(" (1999)")), F.lit("</tbody></TABLE>")))
-        .when(n % 6 == 2, F.concat(F.lit(open_box), row("Capacity", F.lit("unknown")), row("Capacity now", n.cast("string")), F.lit(close)))
-        .when(n % 6 == 3, F.concat(F.lit(open_box), row("Opened", F.lit("1890")), F.lit(close)))
-        .when(n % 6 == 4, F.concat(F.lit("<table class='infoboxes'>"), row("Capacity", F.lit("5")), F.lit(close)))
+        .when(n % 7 == 2, F.concat(F.lit(open_box), row("Capacity", F.lit("unknown")), row("Capacity now", n.cast("string")), F.lit(close)))
+        .when(n % 7 == 3, F.concat(F.lit(open_box), row("Opened", F.lit("1890")), F.lit(close)))
+        .when(n % 7 == 4, F.concat(F.lit("<table class='infoboxes'>"), row("Capacity", F.lit("5")), F.lit(close)))
+        .when(n % 7 == 6, F.concat(
+            F.lit(open_box), row("Tenants", F.lit("<table><tr><td>A<TABLE><tr><td>B</td></tr></TABLE></td></tr></table>")),
+            row("Layout", F.lit("<table class='infobox'><tr><th>Ends</th><td>2</td></tr></table>")),
+            row("Capacity", (300 + n).cast("string")), F.lit(close), F.lit("<table><tr><th>Capacity</th><td>1</td></tr></table>")))
         .otherwise(F.lit(""))
     )
     return pages.select("page_id", F.concat(F.coalesce("html", F.lit("")), box).alias("html"))

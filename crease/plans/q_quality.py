@@ -97,6 +97,33 @@ def q_missing_ids(spark, sf):
     return quality.orphan_ids(fx.a1_star(spark, sf).fact_ball, PLAYER_FKS, _filtered_players(spark, sf), "player_id")
 
 
+SAMPLED = {
+    "batter_id": "batter_name", "bowler_id": "bowler_name", "non_striker_id": "non_striker_name",
+    "player_out_id": "player_out_name", "fielder_id": "fielder_name",
+}
+
+
+def _samples_sql() -> str:
+    parts = []
+    for c, name in SAMPLED.items():
+        ids = f"SELECT DISTINCT CAST({c} AS VARCHAR) AS id, {c} NOT IN (SELECT player_id FROM fplayer) AS missing FROM a1_f WHERE {c} IS NOT NULL"
+        least = f"(SELECT min(id) FROM ({ids}) WHERE missing)"
+        parts.append(f"""SELECT '{c}' AS fk_column, (SELECT COUNT(*) FROM ({ids})) AS unique_ids,
+  (SELECT COUNT(*) FROM ({ids}) WHERE missing) AS missing_ids,
+  (SELECT COUNT(*) FROM a1_f WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT player_id FROM fplayer)) AS missing_rows,
+  (SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT id FROM ({ids}) WHERE missing ORDER BY id LIMIT 5)) AS sample_ids,
+  (SELECT min(CAST(match_id AS VARCHAR) || ',' || {name}) FROM a1_f WHERE CAST({c} AS VARCHAR) = {least}) AS example_row""")
+    return "\nUNION ALL ".join(parts)
+
+
+@register("missing_id_samples", a1(_samples_sql()))
+def q_missing_id_samples(spark, sf):
+    """J5 over all five id columns: unique and missing ids, rows, the five smallest missing ids, an example row."""
+    players = _filtered_players(spark, sf)
+    refs = {c: (players, "player_id") for c in SAMPLED}
+    return quality.orphan_samples(fx.a1_star(spark, sf).fact_ball, refs, {c: ("match_id", n) for c, n in SAMPLED.items()})
+
+
 PHASE_SHARE_SQL = """SELECT r.match_phase, COALESCE(c.n, 0) AS n, t.total,
   CAST(COALESCE(c.n, 0) AS DOUBLE) / CAST(t.total AS DOUBLE) AS share, r.min_share, r.max_share,
   (CAST(COALESCE(c.n, 0) AS DOUBLE) / CAST(t.total AS DOUBLE) >= r.min_share

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 import datetime as dt
 
 from pyspark.sql import functions as F
@@ -105,6 +107,11 @@ def test_infobox_capacity(spark):
         ("<table class='infoboxes'><tr><th>capacity</th><td>8</td></tr></table>", None),
         (box.format("<tr><td>5</td></tr><tr><th>Opened</th><td>1890</td></tr>"), None),
         (None, None), ("", None),
+        (box.format("<tr><th>Ends</th><td><table><tr><td>2</td></tr></table></td></tr><tr><th>Capacity</th><td>11</td></tr>"), 11),
+        (box.format("<tr><th>A</th><td><TABLE><tr><td><table></table></td></tr></TABLE></td></tr>") + "<table><tr><th>Capacity</th><td>5</td></tr></table>", None),
+        (box.format("<tr><th>A</th><td><table><tr><th>Capacity</th><td>12</td></tr></table></td></tr>"), 12),
+        ("<table><tr><td>" + box.format("<tr><th>Capacity</th><td>13</td></tr>") + "</td></tr></table>", 13),
+        ('<table class="infobox"><tr><th>Capacity</th><td>14</td></tr>', 14),
     ]
     df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, html string")
     found = {r.i: r.n for r in df.select("i", enrich.infobox_number(df.html).alias("n")).collect()}
@@ -141,3 +148,43 @@ def test_margin_text_variants(spark):
     alt = [x[0] for x in df.select(margin_text("r", "w", None, otherwise="no result")).collect()]
     assert std == ["by 10 runs", "by 3 wickets", "tie", "n/a"]
     assert alt == ["by 10 runs", "by 3 wickets", "no result", "no result"]
+
+
+AUCTION = "player_name string, season string, team string, sold_price_cr double, base_price_cr double, is_retained boolean, file_order long"
+
+
+def test_auction_merge_rewrites_touched_seasons_alone(spark, tmp_path):
+    from decimal import Decimal
+
+    from crease.operators import auction
+
+    path = str(tmp_path / "auction")
+    assert auction.read_auction(spark, path).count() == 0
+    first = [("A", "2022", "T", 1.5, 0.2, True, 1), ("A", "2022", "U", 2.5, 0.2, True, 2), ("B", "2022", "T", 3.0, 0.5, False, 3), ("A", "2023", "T", 9.0, 1.0, True, 4)]
+    assert auction.merge_auction(spark, path, spark.createDataFrame(first, AUCTION), "file_order") == ["2022", "2023"]
+    files = lambda season: {p: p.stat().st_mtime_ns for p in (tmp_path / "auction" / f"season={season}").iterdir()}
+    kept, other = files("2022"), files("2023")
+    second = [("A", "2023", "V", 7.25, 1.0, None, 1), ("C", "2024", "T", 1.0, 1.0, False, 1)]
+    assert auction.merge_auction(spark, path, spark.createDataFrame(second, AUCTION), "file_order") == ["2023", "2024"]
+    assert files("2022") == kept and files("2023") != other
+    rows = {(r.player_name, r.season): (r.team, r.sold_price_cr, r.is_retained) for r in auction.read_auction(spark, path).collect()}
+    assert rows == {
+        ("A", "2022"): ("U", Decimal("2.50"), True), ("B", "2022"): ("T", Decimal("3.00"), False),
+        ("A", "2023"): ("V", Decimal("7.25"), None), ("C", "2024"): ("T", Decimal("1.00"), False),
+    }
+    with pytest.raises(AssertionError, match="without"):
+        auction.merge_auction(spark, path, spark.createDataFrame([(None, "2024", "T", 1.0, 1.0, True, 1)], AUCTION), "file_order")
+    assert auction.merge_auction(spark, path, spark.createDataFrame([], AUCTION), "file_order") == []
+    assert auction.read_auction(spark, path).count() == 4
+
+
+def test_orphan_samples(spark):
+    from crease.operators import quality
+
+    fact = spark.createDataFrame([(m, f"x{m % 4}", "n", None if m % 2 else "y") for m in range(20)], "match_id long, a string, a_name string, b string")
+    dim = spark.createDataFrame([("x0",), ("x0",)], "k string")
+    refs, shown = {"a": (dim, "k"), "b": (dim, "k")}, {"a": ("match_id", "a_name"), "b": ("match_id",)}
+    got = {r.fk_column: tuple(r)[1:] for r in quality.orphan_samples(fact, refs, shown, samples=2).collect()}
+    assert got == {"a": (4, 3, 15, "x1,x2", "1,n"), "b": (1, 1, 10, "y", "0")}
+    empty = {r.fk_column: tuple(r)[1:] for r in quality.orphan_samples(fact.limit(0), refs, shown).collect()}
+    assert empty == {"a": (0, 0, 0, None, None), "b": (0, 0, 0, None, None)}
