@@ -18,6 +18,9 @@ the best ``k`` of each query; these are merged at the end.
 Scores are summed in double precision component by component, so equal vectors
 have equal scores and ties go to the smaller id.
 
+Vectors of each length have a tree of their own; a query's candidates are those of
+its length.  Lengths of a few vectors are compared directly, in a task for each.
+
 Defined cases: see ``vectors.usable`` for rows that take no part.  With fewer
 than ``k`` candidates a query gets all that it visits.  No queries or no
 vectors: no rows.  Only the named columns are read.
@@ -37,7 +40,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from crease.llm.common import stored
-from crease.llm.vectors import kmeans, matrix, nearest, sample, usable
+from crease.llm.vectors import by_length, kmeans, matrix, nearest, sample, usable
 
 SAMPLE = 20_000  # vectors that the tree is fitted on
 BRANCHES = 16  # children of a node
@@ -187,18 +190,46 @@ def calibrated_visits(rows: DataFrame, asked: DataFrame, tree: Tree, k: int, tar
     return ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))) - 1)] + 1 if ranks else 1
 
 
+RESULT = "query_id long, rank int, vec_id long, score double"
+
+
 def search(df: DataFrame, vec_id: str, vector: str, is_query: Column, k: int, target: float = TARGET) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every row with ``is_query`` (of ``_id``)."""
-    rows = usable(df, vec_id, vector)
+    many, rest = by_length(usable(df, vec_id, vector))
+    parts = [search_length(rows, is_query, k, target) for rows in many]
+    if rest is not None:
+        parts.append(search_few(rest.withColumn("_asked", F.coalesce(is_query, F.lit(False))), k))
+    found = parts[0] if parts else df.sparkSession.createDataFrame([], RESULT)
+    for x in parts[1:]:
+        found = found.unionByName(x)
+    return found
+
+
+def search_few(rows: DataFrame, k: int) -> DataFrame:
+    """``search`` of rows whose lengths (``_size``) have few vectors, by comparing all of a length."""
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, points = np.asarray(group["_id"]), matrix(group["_vec"])
+        q, p = np.nonzero(np.asarray(group["_asked"])[:, None] & (ids[:, None] != ids[None, :]))
+        s = exact(points[q], points[p])
+        keep = keep_best(q, ids[p], s, k)
+        q, p, s = q[keep], p[keep], s[keep]
+        rank = np.arange(len(q)) - np.searchsorted(q, q) + 1
+        return pa.table({"query_id": ids[q], "rank": rank.astype(np.int32), "vec_id": ids[p], "score": s})
+
+    return rows.select("_size", "_id", "_vec", "_asked").groupBy("_size").applyInArrow(run, RESULT)
+
+
+def search_length(rows: DataFrame, is_query: Column, k: int, target: float) -> DataFrame:
+    """``search`` of the queries among rows of one length."""
     n_rows = rows.count()
     asked = rows.where(is_query)
-    spark = df.sparkSession
-    result = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
+    spark = rows.sparkSession
     points = sample(rows, n_rows, SAMPLE)
     if not len(points):
         points = np.array([r["_vec"] for r in rows.limit(SAMPLE).collect()], dtype=np.float64)
     if not len(points) or asked.isEmpty():
-        return spark.createDataFrame([], result)
+        return spark.createDataFrame([], RESULT)
     tree = Tree.fit(points)
     n_visits = calibrated_visits(rows, asked, tree, k, target)
     shared = spark.sparkContext.broadcast(tree)
@@ -222,12 +253,12 @@ def search(df: DataFrame, vec_id: str, vector: str, is_query: Column, k: int, ta
             for i, query in enumerate(matrix(batch.column("_vec"))):
                 tasks: dict[tuple[int, int], list[int]] = {}
                 for leaf in shared.value.visits(query, n_visits):
-                    for k in range(blocks.value.get(leaf, 0)):
-                        tasks.setdefault((leaf % groups, k), []).append(leaf)
-                for (g, k), own in tasks.items():
+                    for b in range(blocks.value.get(leaf, 0)):
+                        tasks.setdefault((leaf % groups, b), []).append(leaf)
+                for (g, b), own in tasks.items():
                     row.append(i)
                     group.append(g)
-                    block.append(k)
+                    block.append(b)
                     leaves.append(own)
             at = pa.array(row, pa.int64())
             columns = [batch.column("_id").take(at), batch.column("_vec").take(at)]

@@ -1,6 +1,6 @@
 """Operator 4: best-fit packing with certified bounds.
 
-1. Whole texts become token ids; only documents longer than a sequence are cut,
+1. Whole texts become token ids, the strings of added tokens their own; only documents longer than a sequence are cut,
    and the first piece takes the remainder.  A piece is one small row.
 2. Pieces are dealt round robin to partitions of about ``ITEMS`` rows, each
    packed by best-fit decreasing.
@@ -25,6 +25,7 @@ are read, so extra columns cannot clash.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import defaultdict
 from functools import lru_cache
@@ -73,6 +74,28 @@ def word_ids(tokenizer_json: str, pattern: str) -> WordIds:
     return WordIds(tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}))
 
 
+@lru_cache(maxsize=2)
+def text_ids(tokenizer_json: str, pattern: str):
+    """Encoder of texts as the tokenizer file has it: its added tokens' strings become their single ids, the rest words."""
+    with open(tokenizer_json, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that take in their surroundings are not supported")
+    words = word_ids(tokenizer_json, pattern)
+    ids = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in added}
+    longest_first = sorted(ids, key=lambda c: (-len(c), c))
+    edges = re.compile("|".join(map(re.escape, longest_first))) if ids else None
+
+    def encode(text: str) -> bytes:
+        found, at = [], 0
+        for m in edges.finditer(text) if edges else ():
+            found += [words(text[at : m.start()]), ids[m.group()]]
+            at = m.end()
+        return b"".join([*found, words(text[at:])]) if found else words(text)
+
+    return encode
+
+
 def cut(n_tokens: int, size: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: whole sequences, after a first piece with the remainder."""
     first = n_tokens if n_tokens <= size else n_tokens % size or size
@@ -85,7 +108,7 @@ def pieces(df: DataFrame, doc_id: str, text: str, tokenizer_json: str, pattern:
     schema = T.StructType([source.schema.fields[0], *PIECE_FIELDS])
 
     def run(batches):
-        encode = word_ids(tokenizer_json, pattern)
+        encode = text_ids(tokenizer_json, pattern)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             row, made = [], []

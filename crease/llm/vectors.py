@@ -10,21 +10,34 @@ from pyspark.sql import functions as F
 from crease.llm.common import only, stored
 
 
+FEW_ROWS = 256  # vectors of a length that are compared directly, in one task
+
+
 def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
     """(_id, _vec array<double>): vectors that can be compared.
 
     Null, empty and zero vectors, those with a null or non-finite component and
-    rows without id are left out, and so are vectors whose length isn't the most
-    common one (of equally common ones the largest).  For rows of one id the
-    smallest vector stands.
+    rows without id are left out.  Vectors are compared with those of their own
+    length (``by_length``).  For rows of one id the smallest vector stands.
     """
     rows = only(df, vec_id, vector).toDF("_id", "_vec").withColumn("_vec", F.col("_vec").cast("array<double>"))
     bad = F.exists("_vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.col("_id").isNotNull() & ~bad & F.exists("_vec", lambda x: x != 0)
-    rows = stored(rows.where(F.coalesce(good, F.lit(False))).groupBy("_id").agg(F.min("_vec").alias("_vec")), "vectors")
-    lengths = rows.groupBy(F.size("_vec").alias("n")).agg(F.count(F.lit(1)).alias("rows"))
-    common = lengths.orderBy(F.desc("rows"), F.desc("n")).limit(1).collect()
-    return rows.where(F.size("_vec") == (common[0]["n"] if common else 0))
+    return stored(rows.where(F.coalesce(good, F.lit(False))).groupBy("_id").agg(F.min("_vec").alias("_vec")), "vectors")
+
+
+def by_length(rows: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """The rows of each length that has many vectors, the commonest first and always, and the rows of all other lengths.
+
+    Lengths of at most ``FEW_ROWS`` vectors are left together, as groups that fit one task."""
+    counts = stored(rows.groupBy(F.size("_vec").alias("_size")).agg(F.count(F.lit(1)).alias("_rows")), "vector-lengths")
+    most = counts.orderBy(F.desc("_rows"), F.desc("_size")).first()
+    if most is None:
+        return [], None
+    many = counts.where((F.col("_rows") > FEW_ROWS) | (F.col("_size") == most["_size"]))
+    sizes = [r["_size"] for r in many.orderBy(F.desc("_rows"), F.desc("_size")).collect()]
+    rest = rows.withColumn("_size", F.size("_vec")).where(~F.col("_size").isin(sizes))
+    return [rows.where(F.size("_vec") == n) for n in sizes], None if rest.isEmpty() else rest
 
 
 def sample(rows: DataFrame, n_rows: int, size: int) -> np.ndarray:

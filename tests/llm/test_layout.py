@@ -83,6 +83,16 @@ def test_vocabulary_gives_the_tokenizers_ids(hard_rows):
         assert ids == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_texts_get_the_tokenizers_ids_by_its_defaults(hard_rows):
+    from tokenizers import Tokenizer
+
+    tokenizer, encode, end = Tokenizer.from_file(JSON_FILE), packing.text_ids(JSON_FILE, public.PATTERN), "<|endoftext|>"
+    texts = [end, f"a {end} b", f"{end}{end}", f"x{end}'s 12{end}\n\n", f"<|{end}|>", "<|endoftext |>", f"  {end}  über", end[:-1], f"a{end[:-1]}{end}"]
+    for text in [r[1] for r in hard_rows if r[1]] + texts:
+        ids = np.frombuffer(encode(text), dtype="<u4").tolist()
+        assert ids == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("n", [1, 1023, 1024, 1025, 2048, 2049, 5000])
 def test_cut(n):
     found = packing.cut(n, 1024)
