@@ -28,9 +28,9 @@ Equal sets are one node throughout (64-bit digest of the set), however many
 documents have it; shared passages make long lists, which are only probed.
 
 Defined cases.  Null texts and texts without words have the empty set, size 0,
-and link with nothing; fewer words than ``words`` are one shingle.  A row with
-a null id gets the component of an equal set, else none.  Rows of one id are one document where components
-are named.  Repeated rows and ties need nothing special.  Empty table: no rows.
+and link with nothing; fewer words than ``words`` are one shingle.  Rows
+with a null id link like any other and get the smallest id reachable, null where
+no linked row has one.  Rows of one id are one document where components are named.  Repeated rows and ties need nothing special.  Empty table: no rows.
 Only the named columns are read, so extra columns cannot clash.
 """
 
@@ -394,10 +394,9 @@ def near_members(members: DataFrame, num: int, den: int) -> DataFrame:
 
 def node_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """(node, size, shingles) of the given nodes, from one document each."""
-    one = rows.join(nodes.withColumnRenamed("node", "_node"), "_node", "left_semi").groupBy("_node").agg(
-        F.min("_id").alias("_id")
-    )
-    one = stored(one.select("_id").distinct(), "jaccard-wanted")
+    named = F.struct(F.col("_id").isNull().alias("_last"), "_id", "_text_key")  # a row with an id, where there is one
+    one = rows.join(nodes.withColumnRenamed("node", "_node"), "_node", "left_semi").groupBy("_node").agg(F.min(named).alias("_one"))
+    one = stored(one.select(F.col("_one._id").alias("_wanted"), F.col("_one._text_key").alias("_wanted_key")).distinct(), "jaccard-wanted")
     if one.count() <= BROADCAST_ROWS:
         one = F.broadcast(one)
     schema = T.StructType(
@@ -423,7 +422,8 @@ def node_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int) ->
                         names=schema.names,
                     )
 
-    return docs.join(one, "_id", "left_semi").select("_text").mapInArrow(run, schema).dropDuplicates(["node"])
+    same = F.col("_id").eqNullSafe(F.col("_wanted")) & (F.col("_text_key") == F.col("_wanted_key"))
+    return docs.join(one, same, "left_semi").select("_text").mapInArrow(run, schema).dropDuplicates(["node"])
 
 
 LABELS = T.StructType([T.StructField(c, T.LongType()) for c in ("pivot", "block", "node", "label")])
@@ -471,17 +471,21 @@ def jaccard_components(
     den: int = 10,
     keep: Sequence[str] = (),
     block: int = BLOCK,
+    group: str | None = None,
 ) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable by links) and columns ``keep`` of every row."""
+    """``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable by links) and columns ``keep`` of every row.
+
+    ``group`` names a further column: a number that exactly the rows linked with each other
+    share, whether they have ids or not (null for rows without shingles)."""
     kept = [f"_k{i}" for i in range(len(keep))]
-    every = only(df, doc_id, text, *keep).toDF("_id", "_text", *kept)
+    every = only(df, doc_id, text, *keep).toDF("_id", "_text", *kept).withColumn("_text_key", F.xxhash64("_text"))
     rows = stored(set_rows(every, words), "jaccard-sets")
-    docs = every.select("_id", "_text")
-    sigs = signature_rows(docs.where("_id is not null"), words, num, den)
+    docs = every.select("_id", "_text", "_text_key")
+    sigs = signature_rows(docs, words, num, den)
 
     repeated = sigs.groupBy("_sig").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1")
     wanted = repeated_filter(repeated.select("_sig"))
-    hits = stored(signature_rows(docs.where("_id is not null"), words, num, den, wanted), "jaccard-hits")
+    hits = stored(signature_rows(docs, words, num, den, wanted), "jaccard-hits")
     met = hits.groupBy("_sig").agg(F.min("_node").alias("pivot"), F.max("_node").alias("_last"))
     met = met.where("pivot <> _last").drop("_last")
     meets = stored(hits.join(met, "_sig").select("pivot", F.col("_node").alias("node")).distinct(), "jaccard-meets")
@@ -528,12 +532,13 @@ def jaccard_components(
     named = least.join(reached.withColumnRenamed("node", "_node"), "_node", "left")
     named = named.withColumn("_group", F.coalesce("component", "_node"))
     smallest = named.groupBy("_group").agg(F.min("_least").alias("_component"))
-    by_node = named.join(smallest, "_group").select("_node", "_component")
+    by_node = named.join(smallest, "_group").select("_node", "_component", "_group")
     out = rows.join(by_node, "_node", "left")
     component = F.coalesce("_component", "_id")
     return out.select(
         F.col("_id").alias(doc_id),
         F.col("_n").alias("n_shingles"),
         component.alias("component_id"),
+        *([F.col("_group").alias(group)] if group else []),
         *[F.col(k).alias(name) for k, name in zip(kept, keep, strict=True)],
     )
