@@ -142,6 +142,67 @@ def test_passages_go_and_unique_texts_stay(spark):
     assert sum(middle in r.text for r in found.values()) == 1
 
 
+def plain_borders(text: bytes, half: int = 16) -> list[int]:
+    """Borders by their definition, place by place."""
+    gear = chunkdedup.GEAR.tolist()
+    hashes = {e: sum(gear[text[e - k]] << 2 * k for k in range(8)) & 0xFFFF for e in range(7, len(text))}
+    at = {0, len(text)}
+    for e in range(7 + half, len(text) - half):
+        if all(hashes[e] < hashes[e - k] and hashes[e] <= hashes[e + k] for k in range(1, half + 1)):
+            border = e + 1
+            while border < len(text) and text[border] & 0xC0 == 0x80:
+                border += 1
+            at.add(border)
+    return sorted(at)
+
+
+def plain_dedup(rows: list[tuple[int, str]], min_run: int = chunkdedup.MIN_RUN) -> dict[int, str]:
+    """Texts without repeated passages by a walk through the documents in order of their ids."""
+    held, out = {}, {}
+    for i, t in sorted(rows):
+        text, seen, kept, run = t.encode(), set(), [], []
+        at = plain_borders(text)
+        for a, b in zip(at, at[1:], strict=False):
+            chunk = text[a:b]
+            if chunk in seen or held.get(chunk, i) != i:
+                run.append(chunk)
+            else:
+                kept += [b"".join(run) if sum(map(len, run)) < min_run else b"", chunk]
+                run = []
+            seen.add(chunk)
+            held.setdefault(chunk, i)
+        kept.append(b"".join(run) if sum(map(len, run)) < min_run else b"")
+        out[i] = b"".join(kept).decode()
+    return out
+
+
+def test_chunk_dedup_against_a_plain_walk(spark):
+    rnd = random.Random(12)
+    passages = [prose(500 + k, rnd.choice([10, 25, 60])) for k in range(8)] + ["日本語のテキスト。" * 9 + prose(7, 20), "ab" * 300, "ha " * 90]
+    rows = []
+    for i in range(120):
+        parts = [prose(9000 + 10 * i + k, rnd.randint(0, 40)) for k in range(3)]
+        rows.append((i, " ".join(p for x in parts for p in (x, rnd.choice([*passages, ""])))))
+    rows += [(200, rows[5][1]), (201, ""), (202, "short"), (203, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    found = {r.doc_id: r.text for r in chunkdedup.dedup_chunks(df, "doc_id", "text").collect()}
+    assert found == plain_dedup(rows)
+    assert sum(found[i] != t for i, t in rows) > 40 and found[200] == "" and found[203] == "short"
+
+
+def test_planted_passages_of_51_words_are_found():
+    missed = short = 0
+    for k in range(1500):
+        passage = prose(50_000 + k, 51).encode()
+        held = prose(k, 20).encode() + b" " + passage + b" " + prose(10_000 + k, 20).encode()
+        text = prose(20_000 + k, 20).encode() + b". " + passage + b"\n" + prose(30_000 + k, 20).encode()
+        gone = np.unique(chunkdedup.chunks(held)[1])
+        left = chunkdedup.keep_text(text, gone, chunkdedup.MIN_RUN)[0]
+        missed += left == text
+        short += len(text) - len(left) < len(passage) / 2
+    assert missed == 0 and short <= 3
+
+
 def test_chunk_dedup_of_hard_rows(hard_docs, hard_rows, clashing, no_docs):
     found = chunkdedup.dedup_chunks(hard_docs, "doc_id", "text")
     texts = collections.Counter((r.doc_id, r.text) for r in found.collect())
