@@ -1,18 +1,23 @@
 """Operator 1: quality by an interpolated modified Kneser-Ney n-gram model.
 
-The model counts character n-grams of all trusted texts, a model for each
-language.  Counts, continuation counts, sums over contexts and
-counts of counts are tables spread by n-gram; discounts are three numbers for
-each language and order.
+The model counts character n-grams of five of all trusted texts, so that it
+judges words and where they meet, and its tables grow with the text.  Counts,
+continuation counts, sums over contexts and counts of counts are tables spread
+by n-gram; discounts are three numbers for each model and order.
+
+Each language has two models, fitted across: texts fall into two folds by their
+hash, and a text is scored by the model of the other fold's trusted texts.  So
+no text, trusted or not, is scored by a model that saw it or an equal one, and
+the threshold, the language's quantile ``quantile`` of the trusted documents'
+perplexities, is a held-out one.  Where all trusted texts of a language fall
+into one fold, both models count them.
 
 Documents are dealt to blocks of about ``BLOCK_CHARS`` characters of one
-language.  A block asks for its distinct n-grams, all blocks' requests meet the
+model.  A block asks for its distinct n-grams, all blocks' requests meet the
 sharded counts of each order in joins, and the answers go back to the block,
 which scores its documents.  So an n-gram in all documents is asked for once in
-a block, and no count table is gathered anywhere.
-
-A document is kept while its perplexity is at most the language's quantile
-``quantile`` of perplexities of the trusted documents.
+a block, and no count table is gathered anywhere.  Rows equal in id and text
+that would fill a block are scored once.
 
 Defined cases.  Null and empty texts have no perplexity and aren't kept.
 Documents of a language without trusted text have no perplexity or threshold
@@ -35,8 +40,9 @@ from pyspark.sql import types as T
 
 from crease.llm.common import only, stored
 
-ORDER = 3
+ORDER = 5
 QUANTILE = 0.99
+FOLDS = 2
 BLOCK_CHARS = 4_000_000
 BROADCAST_ROWS = 1_000_000  # rows of ids or languages that may be broadcast (about 16 MB); more are shuffled
 LOT_CHARS = 2_000_000  # characters counted at a time in a task
@@ -94,26 +100,31 @@ def portions(texts: list[str]) -> Iterator[list[str]]:
         yield lot
 
 
+def small_or_shuffled(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 # -- the model
 
 
 def gram_counts(trusted: DataFrame, order: int) -> DataFrame:
-    """(_lang, gram, c) of trusted (_lang, _text)."""
+    """(_model, gram, c) of trusted (_model, _text)."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            langs = batch.column("_lang").to_pylist()
+            names = batch.column("_model").to_pylist()
             texts = batch.column("_text").to_pylist()
-            for lang in sorted(set(langs)):
-                own = [t for t, g in zip(texts, langs, strict=True) if g == lang]
+            for name in sorted(set(names)):
+                own = [t for t, g in zip(texts, names, strict=True) if g == name]
                 for part in portions(own):
                     grams, counts = distinct_grams(part, order)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(counts, pa.int64())],
-                        names=["_lang", "gram", "c"],
+                        [pa.array([name] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(counts, pa.int64())],
+                        names=["_model", "gram", "c"],
                     )
 
-    return trusted.mapInArrow(run, "_lang string, gram string, c long").groupBy("_lang", "gram").agg(F.sum("c").alias("c"))
+    return trusted.mapInArrow(run, "_model string, gram string, c long").groupBy("_model", "gram").agg(F.sum("c").alias("c"))
 
 
 class Model:
@@ -127,81 +138,106 @@ class Model:
                 counts = gram_counts(trusted, order)
             else:  # in how many ways it is preceded
                 longer = self.counts[n + 1]
-                counts = longer.groupBy("_lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("c"))
+                counts = longer.groupBy("_model", F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("c"))
             self.counts[n] = stored(counts, f"kn-counts-{n}")
             self.discounts[n] = self._discounts(self.counts[n])
             of = lambda c: F.sum(F.when(F.col("c") == c, 1).otherwise(0))
             context = F.expr(f"substring(gram, 1, {n - 1})").alias("context")
-            sums = self.counts[n].groupBy("_lang", context).agg(
+            sums = self.counts[n].groupBy("_model", context).agg(
                 F.sum("c").alias("total"),
                 of(1).alias("ones"),
                 of(2).alias("twos"),
                 F.sum(F.when(F.col("c") >= 3, 1).otherwise(0)).alias("more"),
             )
             self.contexts[n] = stored(sums, f"kn-contexts-{n}")
-        self.signs = self.counts[1].groupBy("_lang").agg((F.count(F.lit(1)) + 1).alias("signs"))
+        signs = self.counts[1].groupBy("_model").agg((F.count(F.lit(1)) + 1).alias("signs"))
+        self.signs = small_or_shuffled(stored(signs, "kn-signs"))  # a row for each model, as contexts of order 1 are
+        self.contexts[1] = small_or_shuffled(self.contexts[1])
 
     @staticmethod
     def _discounts(counts: DataFrame) -> dict[str, tuple[float, float, float]]:
-        """Three discounts for each language from its counts of counts."""
-        found = counts.where("c <= 4").groupBy("_lang", "c").agg(F.count(F.lit(1)).alias("n")).collect()
+        """Three discounts for each model from its counts of counts."""
+        found = counts.where("c <= 4").groupBy("_model", "c").agg(F.count(F.lit(1)).alias("n")).collect()
         out = {}
-        for lang in {r["_lang"] for r in found}:
-            n = {r["c"]: r["n"] for r in found if r["_lang"] == lang}
+        for name in {r["_model"] for r in found}:
+            n = {r["c"]: r["n"] for r in found if r["_model"] == name}
             n1, n2, n3, n4 = (n.get(k, 0) for k in (1, 2, 3, 4))
             y = n1 / (n1 + 2 * n2) if n1 else 0.5
             raw = [k - (k + 1) * y * b / a if a else 0.5 * k for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-            out[lang] = tuple(min(max(d, 0.1), k - 0.1) for k, d in enumerate(raw, 1))
+            out[name] = tuple(min(max(d, 0.1), k - 0.1) for k, d in enumerate(raw, 1))
         return out
 
     def _discount(self, n: int) -> list[Column]:
-        """Discounts of the row's language."""
-        known = [(lang, d) for lang, d in sorted(self.discounts[n].items())] or [("", (0.5, 1.0, 1.5))]
-        maps = [F.create_map(*[F.lit(x) for lang, d in known for x in (lang, float(d[k]))]) for k in range(3)]
-        return [F.coalesce(m[F.col("_lang")], F.lit(0.5 * (k + 1))) for k, m in enumerate(maps)]
+        """Discounts of the row's model."""
+        known = [(name, d) for name, d in sorted(self.discounts[n].items())] or [("", (0.5, 1.0, 1.5))]
+        maps = [F.create_map(*[F.lit(x) for name, d in known for x in (name, float(d[k]))]) for k in range(3)]
+        return [F.coalesce(m[F.col("_model")], F.lit(0.5 * (k + 1))) for k, m in enumerate(maps)]
 
     def scored(self, wanted: DataFrame) -> DataFrame:
-        """(_lang, gram, logp) of distinct wanted n-grams in languages that have a model."""
-        rows = wanted.join(self.signs, "_lang").withColumn("p", 1.0 / F.col("signs"))
+        """(_model, gram, logp) of distinct wanted n-grams in models that exist."""
+        rows = wanted.join(self.signs, "_model").withColumn("p", 1.0 / F.col("signs"))
         for n in range(1, self.order + 1):
             rows = rows.withColumn("_key", F.expr(f"right(gram, {n})")).withColumn("_context", F.expr(f"substring(_key, 1, {n - 1})"))
-            counts = self.counts[n].select("_lang", F.col("gram").alias("_key"), "c")
+            counts = self.counts[n].select("_model", F.col("gram").alias("_key"), "c")
             contexts = self.contexts[n].withColumnRenamed("context", "_context")
-            rows = rows.join(counts, ["_lang", "_key"], "left").join(contexts, ["_lang", "_context"], "left")
+            rows = rows.join(counts, ["_model", "_key"], "left").join(contexts, ["_model", "_context"], "left")
             d1, d2, d3 = self._discount(n)
             count = F.coalesce("c", F.lit(0))
             taken = F.when(count == 0, 0.0).when(count == 1, d1).when(count == 2, d2).otherwise(d3)
             held = d1 * F.col("ones") + d2 * F.col("twos") + d3 * F.col("more")
             p = F.when(F.col("total").isNull(), F.col("p")).otherwise((count - taken + held * F.col("p")) / F.col("total"))
-            rows = rows.select("_lang", "gram", p.alias("p"))
-        return rows.select("_lang", "gram", F.log("p").alias("logp"))
+            rows = rows.select("_model", "gram", p.alias("p"))
+        return rows.select("_model", "gram", F.log("p").alias("logp"))
 
 
 # -- documents
 
 
-def small_or_shuffled(table: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if it has few rows."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+def _same(row: DataFrame, key: DataFrame) -> Column:
+    """Whether rows are equal in id, model and text."""
+    return row["_id"].eqNullSafe(key["_same_id"]) & (row["_model"] == key["_same_model"]) & (row["_key"] == key["_same_key"])
+
+
+def _as_keys(rows: DataFrame, *more: str) -> DataFrame:
+    named = [F.col(c).alias(f"_same{c}") for c in ("_id", "_model", "_key")]
+    return rows.select(*named, *more)
 
 
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
-    """(_id, _lang, perplexity) of documents (_id, _lang, _text) with text."""
+    """(_id, _model, perplexity) of documents (_id, _model, _text) with text; rows that repeat often are scored once."""
+    docs = docs.withColumn("_key", F.xxhash64("_text"))
+    counted = docs.groupBy("_id", "_model", "_key").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("_text")).alias("chars"))
+    often = counted.where((F.col("n") > 1) & (F.col("n") * F.col("chars") > BLOCK_CHARS // 8))
+    often = small_or_shuffled(stored(_as_keys(often), "kn-often"))
+    if often.isEmpty():
+        return _scored(docs, model).drop("_key")
+    again = docs.join(often, _same(docs, often), "left_semi")
+    once = again.dropDuplicates(["_id", "_model", "_key"])
+    scored = stored(_scored(docs.join(often, _same(docs, often), "left_anti").unionByName(once), model), "kn-scored-once")
+    known = small_or_shuffled(stored(_as_keys(scored.join(often, _same(scored, often), "left_semi"), "perplexity"), "kn-scored-often"))
+    rest = scored.join(often, _same(scored, often), "left_anti").drop("_key")
+    return rest.unionByName(again.join(known, _same(again, known)).select("_id", "_model", "perplexity"))
+
+
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """(_id, _model, _key, perplexity) of documents (_id, _model, _text, _key), block by block."""
     order = model.order
-    chars = docs.groupBy("_lang").agg(F.ceil(F.sum(F.length("_text")) / F.lit(BLOCK_CHARS)).cast("long").alias("_blocks"))
-    blocks = small_or_shuffled(stored(chars, "kn-blocks"))  # a row for each language
-    dealt = docs.join(blocks, "_lang").withColumn("_block", F.pmod(F.xxhash64("_id", "_text"), "_blocks")).drop("_blocks")
+    chars = docs.groupBy("_model").agg(F.ceil(F.sum(F.length("_text")) / F.lit(BLOCK_CHARS)).cast("long").alias("_blocks"))
+    blocks = small_or_shuffled(stored(chars, "kn-blocks"))  # a row for each model
+    dealt = docs.join(blocks, "_model").withColumn("_block", F.pmod(F.xxhash64("_id", "_key"), "_blocks")).drop("_blocks")
 
     def ask(group: pa.Table) -> pa.Table:
         grams, _ = distinct_grams(group["_text"].to_pylist(), order)
         same = lambda c: pa.array([group[c][0].as_py()] * len(grams), group[c].type)
-        return pa.table({"_lang": same("_lang"), "_block": same("_block"), "gram": pa.array(grams, pa.string())})
+        return pa.table({"_model": same("_model"), "_block": same("_block"), "gram": pa.array(grams, pa.string())})
 
-    asked = dealt.groupBy("_lang", "_block").applyInArrow(ask, "_lang string, _block long, gram string")
+    asked = dealt.groupBy("_model", "_block").applyInArrow(ask, "_model string, _block long, gram string")
     asked = stored(asked, "kn-asked")
-    known = stored(model.scored(asked.select("_lang", "gram").distinct()), "kn-known")
-    answers = asked.join(known, ["_lang", "gram"])
-    schema = T.StructType([docs.schema["_id"], docs.schema["_lang"], T.StructField("perplexity", T.DoubleType())])
+    known = stored(model.scored(asked.select("_model", "gram").distinct()), "kn-known")
+    answers = asked.join(known, ["_model", "gram"])
+    schema = T.StructType(
+        [docs.schema["_id"], docs.schema["_model"], docs.schema["_key"], T.StructField("perplexity", T.DoubleType())]
+    )
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
         known = "".join(answers["gram"].to_pylist())
@@ -214,10 +250,10 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
         for t in texts["_text"].to_pylist():
             own = logp[np.searchsorted(keys, gram_keys(padded(t, order), order))] if len(keys) else ()
             found.append(float(np.exp(-own.mean())) if len(own) else None)
-        return pa.table({"_id": texts["_id"], "_lang": texts["_lang"], "perplexity": pa.array(found, pa.float64())})
+        return pa.table({**{c: texts[c] for c in ("_id", "_model", "_key")}, "perplexity": pa.array(found, pa.float64())})
 
-    keyed = dealt.select("_id", "_lang", "_text", "_block").groupBy("_lang", "_block")
-    return keyed.cogroup(answers.groupBy("_lang", "_block")).applyInArrow(score, schema)
+    keyed = dealt.select("_id", "_model", "_key", "_text", "_block").groupBy("_model", "_block")
+    return keyed.cogroup(answers.groupBy("_model", "_block")).applyInArrow(score, schema)
 
 
 def judge(
@@ -235,12 +271,21 @@ def judge(
     docs = only(df, doc_id, lang, text).toDF("_id", "_lang", "_text")
     no_lang = "\x00"
     docs = docs.withColumn("_lang", F.coalesce("_lang", F.lit(no_lang)))
-    full = docs.where(F.length("_text") > 0)
+    fold = F.pmod(F.xxhash64("_text"), F.lit(FOLDS))
+    full = docs.where(F.length("_text") > 0).withColumn("_fold", fold).withColumn("_model", F.concat(F.col("_fold").cast("string"), "_lang"))
     ids = labels.where(is_trusted).select(F.col(f"`{label_id}`").alias("_id")).where("_id is not null").distinct()
     ids = small_or_shuffled(stored(ids, "kn-trusted"))
-    trusted = full.join(ids, "_id", "left_semi")
 
-    scored = stored(perplexities(full, Model(trusted.select("_lang", "_text"), order)), "kn-scored")
+    trusted = full.join(ids, "_id", "left_semi")
+    folds = trusted.groupBy("_lang").agg((F.count_distinct("_fold") == 1).alias("_alone"))
+    folds = small_or_shuffled(stored(folds, "kn-folds"))  # a row for each language
+    every_fold = F.array(*[F.lit(f) for f in range(FOLDS)])
+    learning = F.filter(every_fold, lambda f: F.col("_alone") | (f != F.col("_fold")))
+    taught = trusted.join(folds, "_lang").select("_lang", F.explode(learning).alias("_fold"), "_text")
+    model = Model(taught.select(F.concat(F.col("_fold").cast("string"), "_lang").alias("_model"), "_text"), order)
+
+    found = perplexities(full.select("_id", "_model", "_text"), model).withColumn("_lang", F.expr("substring(_model, 2)")).drop("_model")
+    scored = stored(found, "kn-scored")
     of_trusted = scored.join(ids, "_id", "left_semi")
     limits = of_trusted.groupBy("_lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
     judged = scored.join(small_or_shuffled(stored(limits, "kn-limits")), "_lang", "left")  # a row for each language

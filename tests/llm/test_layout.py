@@ -211,22 +211,65 @@ def brute_model(texts, order):
     return p
 
 
-def test_perplexity_equals_brute_force(spark):
-    texts = ["abab abba", "aab b", "baa cab", "abc", "cc ab"]
-    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(10, "abz", "en"), (11, "a", "en"), (12, "bb", "de")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1) for i in range(5)] + [(10, 0), (0, 0)], "doc_id long, quality int")
-    found = quality.judge(docs, "doc_id", "text", "lang", labels, "doc_id", F.col("quality") == 1, quantile=0.5)
-    p, got = brute_model(texts, 3), {r.doc_id: r for r in found.collect()}
-    for i, t, lang in rows[:-1]:
-        padded = "\x02\x02" + t + "\x03"
-        grams = [padded[k : k + 3] for k in range(len(padded) - 2)]
-        want = math.exp(-sum(math.log(p(g)) for g in grams) / len(grams))
-        assert got[i].perplexity == pytest.approx(want, rel=1e-9)
+def judged_by_hand(spark, rows, trusted, order):
+    """Perplexity of each (doc_id, text) of one language: fold by the text's hash, model of the other fold."""
+    hashes = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", f"pmod(xxhash64(text), {quality.FOLDS}) f").distinct()
+    fold = {r.text: r.f for r in hashes.collect()}
+    known = [t for i, t in rows if i in trusted]
+    alone = len({fold[t] for t in known}) == 1
+    models = [brute_model([t for t in known if alone or fold[t] != f], order) for f in range(quality.FOLDS)]
+    out = {}
+    for i, t in rows:
+        padded = "\x02" * (order - 1) + t + "\x03"
+        grams = [padded[k : k + order] for k in range(len(t) + 1)]
+        out[i] = math.exp(-sum(math.log(models[fold[t]](g)) for g in grams) / len(grams))
+    return out
+
+
+@pytest.mark.parametrize("order", [3, quality.ORDER])
+def test_perplexity_equals_brute_force(spark, order):
+    texts = ["abab abba", "aab b", "baa cab", "abc", "cc ab", "ab cab abba", "a b a b c"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10, "abz"), (11, "a")]
+    docs = spark.createDataFrame([(*r, "en") for r in rows] + [(12, "bb", "de")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(7)] + [(10, 0), (0, 0)], "doc_id long, quality int")
+    found = quality.judge(docs, "doc_id", "text", "lang", labels, "doc_id", F.col("quality") == 1, order=order, quantile=0.5)
+    want, got = judged_by_hand(spark, rows, range(7), order), {r.doc_id: r for r in found.collect()}
+    middle = sorted(want[i] for i in range(7))[3]
+    for i, _ in rows:
+        assert got[i].perplexity == pytest.approx(want[i], rel=1e-9)
+        assert got[i].threshold == pytest.approx(middle, rel=1e-9)
         assert got[i].kept == (got[i].perplexity <= got[i].threshold)
     assert (got[12].perplexity, got[12].threshold, got[12].kept) == (None, None, True)
 
 
+def test_trusted_texts_of_one_fold_teach_both_models(spark):
+    rows = [(0, "abab abba"), (1, "abz"), (2, "cab"), (3, "ba ba"), (4, "abab")]
+    docs = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    found = quality.judge(docs, "doc_id", "text", "lang", labels, "doc_id", F.col("quality") == 1, order=3)
+    want = judged_by_hand(spark, rows, [0], 3)
+    got = {r.doc_id: r for r in found.collect()}
+    assert {i: r.perplexity for i, r in got.items()} == pytest.approx(want)
+    assert all(r.lang is None and r.threshold == pytest.approx(want[0]) for r in got.values())
+
+
+def test_a_row_that_repeats_often_is_scored_once(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK_CHARS", 64)
+    sizes = []
+    scored = quality._scored
+    monkeypatch.setattr(quality, "_scored", lambda docs, model: sizes.append(docs.count()) or scored(docs, model))
+    rows = [(i, "abab abba"[: 3 + i % 6]) for i in range(20)] + [(None, "bab baba")] * 30 + [(3, "ab ab ab")] * 30
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string").repartition(5)
+    labels = spark.createDataFrame([(i, 1) for i in range(12)], "doc_id long, quality int")
+    found = quality.judge(docs, "doc_id", "text", "lang", labels, "doc_id", F.col("quality") == 1, order=3)
+    one = lambda r: (r.doc_id, round(r.perplexity, 9), r.kept)
+    got = collections.Counter(one(r) for r in found.collect())
+    assert sizes == [22] and sum(got.values()) == 80
+    monkeypatch.setattr(quality, "BLOCK_CHARS", 4_000_000)
+    plain = quality.judge(docs, "doc_id", "text", "lang", labels, "doc_id", F.col("quality") == 1, order=3)
+    assert got == collections.Counter(one(r) for r in plain.collect())
+
+
 def test_probabilities_of_a_context_sum_to_one():
     p = brute_model(["abab abba", "aab b", "baa"], 3)
     signs = {*"ab \x03"}
