@@ -28,6 +28,17 @@ def stored(df: DataFrame, name: str, partitions: list[str] | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_freed(df: DataFrame, name: str) -> DataFrame:
+    """``stored``, with the shuffle files of the write removed as it ends; for a plan that isn't run again."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return stored(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def unsigned_crc32(text: Column) -> Column:
     """CRC-32 of the UTF-8 bytes; null counts as no bytes."""
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))

@@ -15,7 +15,7 @@ into one fold, both models count them.
 Documents are dealt to blocks of about ``BLOCK_CHARS`` characters of one
 model.  A block asks for its distinct n-grams, all blocks' requests meet the
 sharded counts of each order in joins, and the answers go back to the block,
-which scores its documents.  So an n-gram in all documents is asked for once in
+which scores its documents.  Texts travel compressed.  So an n-gram in all documents is asked for once in
 a block, and no count table is gathered anywhere.  Rows equal in id and text
 that would fill a block are scored once.
 
@@ -30,20 +30,22 @@ clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crease.llm.common import only, stored
+from crease.llm.common import only
+from crease.llm.common import stored_freed as stored
 
 ORDER = 5
 QUANTILE = 0.99
 FOLDS = 2
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 32_000_000
 BROADCAST_ROWS = 1_000_000  # rows of ids or languages that may be broadcast (about 16 MB); more are shuffled
 LOT_CHARS = 2_000_000  # characters counted at a time in a task
 START, END = 2, 3  # control characters around a text
@@ -87,7 +89,7 @@ def distinct_grams(texts: Iterator[str], order: int) -> tuple[list[str], np.ndar
     return gram_texts(np.concatenate(codes), places[first], order), counts
 
 
-def portions(texts: list[str]) -> Iterator[list[str]]:
+def portions(texts: Iterable[str]) -> Iterator[list[str]]:
     """Texts in lots of about ``LOT_CHARS`` characters."""
     lot, chars = [], 0
     for t in texts:
@@ -193,6 +195,26 @@ class Model:
 # -- documents
 
 
+def compressed(docs: DataFrame) -> DataFrame:
+    """Documents with ``_text`` compressed, one by one."""
+    schema = T.StructType([T.StructField("_text", T.BinaryType()) if f.name == "_text" else f for f in docs.schema])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        squeeze = zstandard.ZstdCompressor().compress
+        for batch in batches:
+            texts = pa.array([squeeze(t.as_buffer()) for t in batch.column("_text")], pa.binary())
+            yield batch.set_column(batch.schema.get_field_index("_text"), "_text", texts)
+
+    return docs.mapInArrow(run, schema)
+
+
+def plain(texts: pa.ChunkedArray) -> Iterator[str]:
+    """Compressed texts, one by one."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    for t in texts:
+        yield open_(t.as_buffer()).decode()
+
+
 def _same(row: DataFrame, key: DataFrame) -> Column:
     """Whether rows are equal in id, model and text."""
     return row["_id"].eqNullSafe(key["_same_id"]) & (row["_model"] == key["_same_model"]) & (row["_key"] == key["_same_key"])
@@ -207,7 +229,7 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     """(_id, _model, perplexity) of documents (_id, _model, _text) with text; rows that repeat often are scored once."""
     docs = docs.withColumn("_key", F.xxhash64("_text"))
     counted = docs.groupBy("_id", "_model", "_key").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("_text")).alias("chars"))
-    often = counted.where((F.col("n") > 1) & (F.col("n") * F.col("chars") > BLOCK_CHARS // 8))
+    often = counted.where((F.col("n") > 1) & (F.col("n") * F.col("chars") > BLOCK_CHARS // 16))
     often = small_or_shuffled(stored(_as_keys(often), "kn-often"))
     if often.isEmpty():
         return _scored(docs, model).drop("_key")
@@ -224,10 +246,10 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
     order = model.order
     chars = docs.groupBy("_model").agg(F.ceil(F.sum(F.length("_text")) / F.lit(BLOCK_CHARS)).cast("long").alias("_blocks"))
     blocks = small_or_shuffled(stored(chars, "kn-blocks"))  # a row for each model
-    dealt = docs.join(blocks, "_model").withColumn("_block", F.pmod(F.xxhash64("_id", "_key"), "_blocks")).drop("_blocks")
+    dealt = compressed(docs).join(blocks, "_model").withColumn("_block", F.pmod(F.xxhash64("_id", "_key"), "_blocks")).drop("_blocks")
 
     def ask(group: pa.Table) -> pa.Table:
-        grams, _ = distinct_grams(group["_text"].to_pylist(), order)
+        grams = sorted({g for lot in portions(plain(group["_text"])) for g in distinct_grams(lot, order)[0]})
         same = lambda c: pa.array([group[c][0].as_py()] * len(grams), group[c].type)
         return pa.table({"_model": same("_model"), "_block": same("_block"), "gram": pa.array(grams, pa.string())})
 
@@ -247,7 +269,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
         rank = np.argsort(keys)
         keys, logp = keys[rank], logp[rank]
         found = []
-        for t in texts["_text"].to_pylist():
+        for t in plain(texts["_text"]):
             own = logp[np.searchsorted(keys, gram_keys(padded(t, order), order))] if len(keys) else ()
             found.append(float(np.exp(-own.mean())) if len(own) else None)
         return pa.table({**{c: texts[c] for c in ("_id", "_model", "_key")}, "perplexity": pa.array(found, pa.float64())})
