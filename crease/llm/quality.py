@@ -51,22 +51,22 @@ LOT_CHARS = 2_000_000  # characters counted at a time in a task
 START, END = 2, 3  # control characters around a text
 
 
-def padded(text: str, order: int) -> np.ndarray:
-    """Code points with signs for start and end."""
-    codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
-    return np.concatenate([np.full(order - 1, START, dtype="<u4"), codes, np.array([END], dtype="<u4")])
+def padded(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of texts with signs for start and end, where n-grams start, and how many each text has."""
+    lead, sizes = chr(START) * (order - 1), np.array([len(t) + 1 for t in texts], dtype=np.int64)
+    codes = np.frombuffer("".join([lead + t + chr(END) for t in texts]).encode("utf-32-le"), dtype="<u4")
+    shift = np.arange(len(texts), dtype=np.int64) * (order - 1)
+    return codes, np.arange(sizes.sum(), dtype=np.int64) + np.repeat(shift, sizes), sizes
 
 
 def gram_keys(codes: np.ndarray, order: int) -> np.ndarray:
-    """Number of each n-gram: 21 bits a character (so orders up to 3), else a 64-bit digest."""
-    key = np.zeros(len(codes) - order + 1, dtype=np.uint64)
-    for k in range(order):
-        part = codes[k : len(codes) - order + 1 + k].astype(np.uint64)
-        if order <= 3:
-            key = (key << np.uint64(21)) | part
-        else:
-            key = (key ^ part) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
+    """A 64-bit number for the n-gram at each place: 21 bits a character up to order 3, else a polynomial digest."""
+    wide, n = codes.astype(np.uint64), len(codes) - order + 1
+    step = np.uint64(1 << 21) if order <= 3 else np.uint64(0x9E3779B97F4A7C15)
+    key = wide[:n].copy()
+    for k in range(1, order):
+        key *= step
+        key += wide[k : n + k]
     return key
 
 
@@ -77,16 +77,17 @@ def gram_texts(codes: np.ndarray, places: np.ndarray, order: int) -> list[str]:
     return [text[i : i + order] for i in range(0, len(text), order)]
 
 
-def distinct_grams(texts: Iterator[str], order: int) -> tuple[list[str], np.ndarray]:
+def distinct_grams(texts: list[str], order: int) -> tuple[list[str], np.ndarray]:
     """Distinct n-grams of some texts and how often each occurs."""
-    codes = [padded(t, order) for t in texts if t]
-    if not codes:
+    texts = [t for t in texts if t]
+    if not texts:
         return [], np.empty(0, dtype=np.int64)
-    keys = np.concatenate([gram_keys(c, order) for c in codes])
-    starts = np.cumsum([0] + [len(c) for c in codes[:-1]])
-    places = np.concatenate([np.arange(len(c) - order + 1) + s for c, s in zip(codes, starts, strict=True)])
-    _, first, counts = np.unique(keys, return_index=True, return_counts=True)
-    return gram_texts(np.concatenate(codes), places[first], order), counts
+    codes, places, _ = padded(texts, order)
+    keys = gram_keys(codes, order)[places]
+    rank = np.argsort(keys)
+    keys = keys[rank]
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return gram_texts(codes, places[rank[new]], order), np.diff(np.append(new, len(keys)))
 
 
 def portions(texts: Iterable[str]) -> Iterator[list[str]]:
@@ -268,11 +269,16 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
         keys = gram_keys(codes, order)[::order] if len(codes) else np.empty(0, dtype=np.uint64)
         rank = np.argsort(keys)
         keys, logp = keys[rank], logp[rank]
-        found = []
-        for t in plain(texts["_text"]):
-            own = logp[np.searchsorted(keys, gram_keys(padded(t, order), order))] if len(keys) else ()
-            found.append(float(np.exp(-own.mean())) if len(own) else None)
-        return pa.table({**{c: texts[c] for c in ("_id", "_model", "_key")}, "perplexity": pa.array(found, pa.float64())})
+        found = [np.empty(0)]
+        for lot in portions(plain(texts["_text"])):
+            own, places, sizes = padded(lot, order)
+            if len(keys):
+                each = logp[np.searchsorted(keys, gram_keys(own, order)[places])]
+                found.append(np.exp(-np.add.reduceat(each, np.cumsum(sizes) - sizes) / sizes))
+            else:
+                found.append(np.full(len(lot), np.nan))
+        found = np.concatenate(found)
+        return pa.table({**{c: texts[c] for c in ("_id", "_model", "_key")}, "perplexity": pa.array(found, pa.float64(), mask=np.isnan(found))})
 
     keyed = dealt.select("_id", "_model", "_key", "_text", "_block").groupBy("_model", "_block")
     return keyed.cogroup(answers.groupBy("_model", "_block")).applyInArrow(score, schema)
