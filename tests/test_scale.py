@@ -74,3 +74,11 @@ def test_customers_and_matches_are_not_broadcast(spark, tables):
         rows = write.fact_layout(fact, spark.createDataFrame([(1, 1996)], "match_id bigint, season_year int"), tasks=tasks)
         assert "LeftOuter" in plan(rows) and not re.search(r"Broadcast\w+Join.*LeftOuter", plan(rows))
         assert tasks is None or rows.rdd.getNumPartitions() == tasks
+
+
+def test_documents_are_rendered_without_a_broadcast(spark, tables):
+    headers, fact = td.a1_match_headers(spark, tables), td.a1_fact_ball(spark, tables)
+    docs = typed_documents.a4_documents(headers, fact, 6)
+    assert "SortMergeJoin [key" in plan(docs) and docs.rdd.getNumPartitions() == 6
+    plain = typed_documents.a4_documents(headers, fact)
+    assert docs.count() == ORDERS + 1 and docs.exceptAll(plain).count() == 0
