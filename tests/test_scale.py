@@ -82,3 +82,12 @@ def test_documents_are_rendered_without_a_broadcast(spark, tables):
     assert "SortMergeJoin [key" in plan(docs) and docs.rdd.getNumPartitions() == 6
     plain = typed_documents.a4_documents(headers, fact)
     assert docs.count() == ORDERS + 1 and docs.exceptAll(plain).count() == 0
+
+
+def test_running_columns_and_reference_checks_broadcast_nothing(spark, tables):
+    fact = td.a1_fact_ball(spark, tables)
+    assert "Broadcast" not in plan(derived.derived_columns(spark.createDataFrame(fact.limit(9).collect(), fact.schema)))
+    few = spark.createDataFrame([(1, "a"), (2, "b")], "match_id bigint, id string")
+    counts = quality.fk_counts(few, {"match_id": (few.where("id = 'a'"), "match_id")})
+    assert "LeftAnti" in plan(counts) and not re.search(r"Broadcast\w+Join.*LeftAnti", plan(counts))
+    assert [tuple(r) for r in counts.collect()] == [("match_id", 1, 0)]
