@@ -25,7 +25,7 @@ def q_star_roundtrip(spark, sf):
     tables["fact_ball"] = s.fact_ball.drop("season_year")
     report = quality.run_all_checks(tables["fact_ball"], tables, s.dim_player, s.dim_match, {"dim_team": 25, "dim_venue": 5})
     root = scratch_path(spark, "star")
-    write.write_star(tables, root, report)
+    write.write_star(tables, root, report, td.tasks_for(spark, sf, "lineitem"))
     return write.StoredStar(spark, root).fact_ball.select(*FACT_BALL_COLUMNS)
 
 
