@@ -76,6 +76,14 @@ def test_customers_and_matches_are_not_broadcast(spark, tables):
         assert tasks is None or rows.rdd.getNumPartitions() == tasks
 
 
+def test_the_venue_average_joins_matches_by_a_shuffle(spark):
+    fact = spark.createDataFrame([(1, 1, 4), (1, 1, 2), (1, 2, 9), (2, 1, 3)], "match_id bigint, innings_number int, total_runs int")
+    matches = spark.createDataFrame([(1, 7), (2, 7)], "match_id bigint, venue_id bigint")
+    out = enrich.first_innings_average(fact, matches)
+    assert "Broadcast" not in plan(out)
+    assert [tuple(r) for r in out.collect()] == [(7, 5)]
+
+
 def test_documents_are_rendered_without_a_broadcast(spark, tables):
     headers, fact = td.a1_match_headers(spark, tables), td.a1_fact_ball(spark, tables)
     docs = typed_documents.a4_documents(headers, fact, 6)
