@@ -7,7 +7,7 @@ import re
 import pytest
 from conftest import delivery, docs_frame, match_doc
 
-from crease.operators import derived, flatten
+from crease.operators import derived, dims, flatten
 from crease.sources import documents
 from crease.sources import testdata as td
 
@@ -65,6 +65,24 @@ def test_flatten_is_narrow(spark):
     assert shuffles(plan_of(flatten.build_fact_ball(accepted))) == 0
 
 
+def test_each_text_of_a_document_is_parsed_once(spark):
+    """A filter on the verdict, or a member read twice, must not parse a text again."""
+    o = [[delivery(), delivery()]]
+    docs = docs_frame(spark, {"/m/1.json": match_doc([("T1", o), ("T2", o)])})
+    accepted, quarantine = documents.split_documents(docs)
+    levels = {"document": 1, "its root, where it is marked": 1, "innings": 1, "over": 1, "delivery": 1, "wicket": 1, "fielder (name, id)": 2}
+    assert plan_of(flatten.build_fact_ball(accepted)).count("from_json(") == sum(levels.values())
+    for df in (accepted, quarantine, documents.classify_documents(docs).where("gender_ok AND status = 'ok'")):
+        assert plan_of(df).count("from_json(") == 2
+
+
+def test_the_teams_of_a_match_are_cleaned_once(spark):
+    o = [[delivery()]]
+    accepted, _ = documents.split_documents(docs_frame(spark, {"/m/1.json": match_doc([("T1", o)])}))
+    plan = plan_of(dims.build_dim_match(flatten.match_headers(accepted)))
+    assert plan.count("filter(transform(coalesce(") == 1
+
+
 @pytest.fixture(scope="module")
 def star(spark):
     from crease.plans import fixtures

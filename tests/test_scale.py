@@ -92,6 +92,17 @@ def test_documents_are_rendered_without_a_broadcast(spark, tables):
     assert docs.count() == ORDERS + 1 and docs.exceptAll(plain).count() == 0
 
 
+def test_documents_come_from_the_line_items_without_the_star(spark, tables):
+    """Same documents as from the stored star, balls of a repeated order or nation as often as there."""
+    headers, star = td.a1_match_headers(spark, tables), fixtures.a1_star(spark, tables)
+    want = typed_documents.a4_documents(headers, star.fact_ball)
+    balls = td.a1_fact_ball(spark, tables, with_teams=False, tasks=6)
+    got = typed_documents.a4_documents(headers, balls, 6, td.a1_times(spark, tables, 6))
+    assert got.count() == ORDERS + 1 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert {r["match_id"]: r["times"] for r in td.a1_times(spark, tables, 6).collect()} == {k: 1 + (k == 1) for k in range(ORDERS)}
+    assert len(re.findall(r"Exchange hashpartitioning\(match_id", plan(got))) == 2  # line items and times
+
+
 def test_running_columns_and_reference_checks_broadcast_nothing(spark, tables):
     fact = td.a1_fact_ball(spark, tables)
     assert "Broadcast" not in plan(derived.derived_columns(spark.createDataFrame(fact.limit(9).collect(), fact.schema)))
